@@ -5,19 +5,117 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import render
+
+    return render(_table(spark, sf_dir, "conversations"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import tokenized
+
+    return tokenized(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, predict, training_rows
+
+    docs = _table(spark, sf_dir, "documents")
+    net = fit(training_rows(docs))
+    held = F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2"), F.lit(False))
+    return predict(docs.select("doc_id", "text"), net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score, training_labels
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, training_labels(_table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0"), F.lit(False))
+    return score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_chat_format": op2_chat_format,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_token_binary": op4_token_binary,
+    "op5_language_id": op5_language_id,
+    "op6_fingerprint": op6_fingerprint,
+    "op7_personal_data": op7_personal_data,
+    "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
 }
+
+_WORDS = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL["op1_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(t="text")} AS w FROM benchmark),
+windows AS (
+  SELECT item_id, len(w) AS m, array_to_string(w, ' ') AS s FROM b WHERE len(w) BETWEEN 1 AND 9
+  UNION ALL
+  SELECT item_id, 10 AS m, array_to_string(list_slice(w, k, k + 9), ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM b WHERE len(w) >= 10)),
+places AS (
+  SELECT doc_id, m, k, array_to_string(list_slice(w, k, k + m - 1), ' ') AS s
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k
+        FROM d, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)),
+hits AS (SELECT p.doc_id, p.m, p.k, x.item_id FROM places p JOIN windows x USING (m, s)),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items.s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+from .chat import ORACLE as _CHAT  # noqa: E402
+
+ORACLE_SQL["op2_chat_format"] = _CHAT
