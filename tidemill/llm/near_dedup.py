@@ -13,8 +13,8 @@ Work is kept linear in the presence of very large groups:
   that is the text they were edited from);
 * members of one bucket that those links already put into one component need no
   further comparison; only pairs between different components remain.  A large
-  bucket of such members is split into tiles, compared by signature in numpy
-  blocks, and only pairs whose estimate is near the threshold are emitted.
+  bucket of such members is split into tiles, which are compared in numpy by
+  signature and then by full set, and return one link between two components.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def signatures(values: np.ndarray, at: np.ndarray, perms: int) -> np.ndarray:
     return out
 
 
-def _sketch(width: int, perms: int, rows: int):
+def _sketch(width: int, perms: int, rows: int, full: bool = False):
     bands = 2 * perms // rows
     salt, mul = stream(31, bands), stream(32, 2 * perms) | U64(1)
 
@@ -96,31 +96,30 @@ def _sketch(width: int, perms: int, rows: int):
                 with np.errstate(over="ignore"):
                     key = mix((sig.astype(U64) * mul).reshape(len(n), bands, rows).sum(axis=2, dtype=U64) + salt)
                     sums = np.zeros((2, len(n)), U64)
-                    full = np.flatnonzero(n)
-                    if len(full):
-                        sums[0, full] = np.add.reduceat(mix(values + U64(5)), at[full])
-                        sums[1, full] = np.add.reduceat(mix(values + U64(6)), at[full])
+                    some = np.flatnonzero(n)
+                    if len(some):
+                        sums[0, some] = np.add.reduceat(mix(values + U64(5)), at[some])
+                        sums[1, some] = np.add.reduceat(mix(values + U64(6)), at[some])
                 live = n > 0
-                yield pa.record_batch(
-                    [
-                        ids.slice(i, j - i),
-                        pa.array(n, pa.int64()),
-                        pa.array(sums[0].view(np.int64)),
-                        pa.array(sums[1].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(live * bands)]).astype(np.int32)), pa.array(key[live].ravel().view(np.int64))),
-                        pa.array([sig[r].tobytes() if live[r] else b"" for r in range(len(n))], pa.binary()),
-                    ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "keys", "sig"],
-                )
+                cols = {
+                    "doc_id": ids.slice(i, j - i),
+                    "n_shingles": pa.array(n, pa.int64()),
+                    "d1": pa.array(sums[0].view(np.int64)),
+                    "d2": pa.array(sums[1].view(np.int64)),
+                    "keys": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(live * bands)]).astype(np.int32)), pa.array(key[live].ravel().view(np.int64))),
+                }
+                if full:
+                    cols["sig"] = pa.array([sig[r].tobytes() if live[r] else b"" for r in range(len(n))], pa.binary())
+                    cols["members"] = pa.array([values[at[r] : at[r + 1]].tobytes() for r in range(len(n))], pa.binary())
+                yield pa.record_batch(list(cols.values()), names=list(cols))
 
     return run
 
 
-def sketch(docs: DataFrame, width: int, perms: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, keys, sig): set size, set digest, band keys and signature."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _sketch(width, perms, rows), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sig binary"
-    )
+def sketch(docs: DataFrame, width: int, perms: int, rows: int, full: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, keys): set size, set digest and band keys; with ``full`` also sig and members, the set."""
+    cols = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>" + (", sig binary, members binary" if full else "")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch(width, perms, rows, full), cols)
 
 
 def _confirm(width: int, num: int, den: int):
@@ -159,25 +158,45 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[int
     return both.select("b", "a", "tb", "ta").mapInArrow(_confirm(width, *threshold), "a long, b long")
 
 
-def _tile_pairs(num: int, den: int, slack: float):
-    """Pairs of one tile (members of a bucket, or two slices of them) that may be similar."""
+def _tile_links(num: int, den: int, slack: float):
+    """Links between different components in one tile (the members of a bucket, or two slices of them).
+
+    A pair is looked at in the first band that its members share.  Pairs whose
+    signatures promise too little are skipped, the rest is decided on the full sets;
+    of the links between two components one is returned.
+    """
 
     def run(pdf):
         import pandas as pd
 
-        sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
+        keys = np.stack(pdf["keys"].to_numpy())
+        key = pdf["key"].iloc[0]
+        here = (keys == key).any(axis=1)  # not so for another text of a repeated id
+        pdf, keys = pdf[here], keys[here]
+        band = int((keys[0] == key).argmax()) if len(pdf) else 0
         ids, comp, n, part = (pdf[c].to_numpy() for c in ("node", "root", "n_shingles", "part"))
-        lo = pdf["lo"].iloc[0]
-        hi = pdf["hi"].iloc[0]
+        comp = comp.copy()
+        sets = [np.frombuffer(x, U64) for x in pdf["members"]]
+        sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]]) if len(pdf) else None
+        lo, hi = (pdf[c].iloc[0] if len(pdf) else 0 for c in ("lo", "hi"))
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         got = []
         for i in left:
-            js = right[(comp[right] != comp[i]) & ((lo != hi) | (ids[right] > ids[i]))]
+            js = right[(comp[right] != comp[i]) & ((lo != hi) | (right > i))]
             js = js[den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i])]
-            if len(js):
-                js = js[(sig[js] == sig[i]).mean(axis=1) >= num / den - slack]
-                got.append(np.stack([np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])], axis=1))
-        got = np.concatenate(got) if got else np.empty((0, 2), np.int64)
+            js = js[(keys[js] == keys[i]).argmax(axis=1) == band] if len(js) else js
+            js = js[(sig[js] == sig[i]).mean(axis=1) >= num / den - slack] if len(js) else js
+            if not len(js):
+                continue
+            values = np.concatenate([sets[j] for j in js])
+            at = np.searchsorted(sets[i], values)
+            same = sets[i][np.minimum(at, len(sets[i]) - 1)] == values
+            both = np.add.reduceat(same, np.concatenate([[0], np.cumsum(n[js])[:-1]]), dtype=np.int64)
+            for j in js[den * both >= num * (n[js] + n[i] - both)]:
+                if comp[j] != comp[i]:
+                    got.append((ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
+        got = np.array(got, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
     return run
@@ -190,6 +209,7 @@ def near_duplicates(
     perms: int = 64,
     rows: int = 4,
     tile: int = 1500,
+    slack: float = 0.15,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -237,9 +257,10 @@ def near_duplicates(
     tiles = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "key", "node", "root", "n_shingles", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")
     )
-    signed = tiles.join(nodes.select(F.col("doc_id").alias("node"), "sig"), "node")
-    more = signed.groupBy("key", "lo", "hi").applyInPandas(_tile_pairs(num, den, 0.25), "a long, b long").distinct()
-    late = confirm(more, texts, width, threshold)
+    open_ = placed.join(mixed.select("key"), "key", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    sets_of = sketch(texts.join(open_, "doc_id", "left_semi"), width, perms, rows, full=True)
+    signed = tiles.drop("n_shingles").join(sets_of.select(F.col("doc_id").alias("node"), "n_shingles", "keys", "sig", "members"), "node")
+    late = signed.groupBy("key", "lo", "hi").applyInPandas(_tile_links(num, den, slack), "a long, b long")
     linked = work.table(links.unionByName(late), "all-links")
     comp = components(linked, work)
 
