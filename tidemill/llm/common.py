@@ -8,16 +8,16 @@ code points.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import ship as ship
+
 U64 = np.uint64
 #: Rows up to which a table may be broadcast after its rows were counted.
 BROADCAST_ROWS = 200_000
@@ -42,22 +42,6 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the executors import this package: sent once per Spark context, through Spark's own file server."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidemill_sent", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    to = os.path.join(tempfile.mkdtemp(prefix="tidemill-py-"), "tidemill_src.zip")
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, names in os.walk(top):
-            for x in sorted(names):
-                if x.endswith(".py"):
-                    z.write(f := os.path.join(d, x), os.path.relpath(f, os.path.dirname(top)))
-    sc.addPyFile(to)
-    sc._tidemill_sent = True
-
-
 class Work:
     """A fresh subfolder of the shared folder, and tables written into it."""
 
