@@ -243,7 +243,7 @@ def _accept(sent, least: float):
     return run
 
 
-def accept(docs: DataFrame, net: ByteCnn, least: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, net: ByteCnn, least: float = 0.35) -> DataFrame:
     """``docs`` in its own columns without the rows whose language cannot be told (``und``, or a score under ``least``)."""
     ship(docs.sparkSession)
     return docs.mapInArrow(_accept(docs.sparkSession.sparkContext.broadcast(net), least), docs.schema)

@@ -110,7 +110,7 @@ def _reduce(seed: int, level: int, last: bool):
         luck = (mix(h[order] + U64(77)) >> U64(11)).astype(float) / (1 << 53)
         p, hand = pivot(pdf["p"].to_numpy(float), size[order].astype(float), luck)
         if last and hand >= 0:
-            p[hand] = float(luck[hand] < p[hand])
+            p[hand] = float(p[hand] >= 0.5)  # so a source misses its target by half a document at most
             hand = -1
         pdf["p"] = p
         pdf["open"] = np.arange(len(pdf)) == hand
