@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffer_of, lower, mix, ship
+from .common import U64, buffer_of, lower, mix, shards, ship
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -157,17 +157,21 @@ def _predict(sent):
             text = batch.column("text")
             data, offsets = buffer_of(text)
             data = lower(data)
-            total = np.zeros((len(offsets) - 1, len(net.classes)))
-            weight = np.zeros(len(offsets) - 1)
-            for x, row in windows_of(data, offsets, net.window):
-                p = net.probabilities(x, looked)
-                w = _LETTER[x].sum(axis=1) + 1e-3
-                np.add.at(total, row, p * w[:, None])
-                np.add.at(weight, row, w)
-            ok = _has_letter(data, offsets)
-            mean = total / np.maximum(weight, 1e-9)[:, None]
-            best = np.where(ok, mean.argmax(axis=1), len(net.classes)) if net.classes else np.zeros(len(ok), np.int64)
-            score = np.where(ok, mean.max(axis=1), 0.0) if net.classes else np.zeros(len(ok))
+            best = np.full(batch.num_rows, len(net.classes))
+            score = np.zeros(batch.num_rows)
+            for i, j in shards(offsets):
+                part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                total, weight = np.zeros((j - i, len(net.classes))), np.zeros(j - i)
+                for x, row in windows_of(part, off, net.window) if net.classes else ():
+                    p = net.probabilities(x, looked)
+                    w = _LETTER[x].sum(axis=1) + 1e-3
+                    np.add.at(total, row, p * w[:, None])
+                    np.add.at(weight, row, w)
+                ok = _has_letter(part, off)
+                if net.classes:
+                    mean = total / np.maximum(weight, 1e-9)[:, None]
+                    best[i:j] = np.where(ok, mean.argmax(axis=1), len(net.classes))
+                    score[i:j] = np.where(ok, mean.max(axis=1), 0.0)
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch([batch.column(c) for c in keep] + [names.take(pa.array(best)), pa.array(np.clip(score, 0, 1))], names=[*keep, "lang_pred", "score"])
 
