@@ -17,8 +17,12 @@ any slice of it without the rest.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -79,26 +83,31 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- encoding
-#: White space beyond ASCII's, and separators some engines count as such: such texts are encoded in one piece.
+#: White space beyond ASCII's, and separators some engines count as such: such texts are encoded in one piece,
+#: and so are those with numbers that are no decimal digits, which are word characters here but not there.
 _ODD_CODES = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+_ODD_CODES += [c for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("No", "Nl")]
 _ODD = re.compile("[" + "".join(map(chr, _ODD_CODES)) + "]")
-_PIECE = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
+#: Beyond the first plane all are: a class of both would be searched range by range.
+_FAR = re.compile(f"[{chr(0x10000)}-{chr(0x10FFFF)}]")
+_BLANK = " \t\n\x0b\x0c\r"
+#: Letters, and numbers that are no decimal digits, of the first plane; listed, because a listed class is searched fastest.
+_LETTERS = "".join(c for c in map(chr, range(0x10000)) if re.match(r"[^\W\d_]", c))
+_PIECE = re.compile(rf" [{_LETTERS}]+|[{_BLANK}]*[{_LETTERS}]+|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+#: A piece that is one pre-token whatever precedes it.
+_SIMPLE = re.compile(r" [^\W\d_]+")
 
 
 class Encoder:
-    """Encodes with the tokenizers library; blank-led pieces of text that came before are looked up.
+    """Encodes with the tokenizers library; pieces of text that came before are looked up.
 
-    A byte-level pre-tokenizer never joins a visible character to a following
-    blank, so the ids of a text are those of its pieces in turn.  Any other
-    tokenizer encodes whole texts.
+    A byte-level pre-tokenizer ends a token between a visible character and a
+    blank, and after letters before anything else, so the ids of a text are those
+    of its pieces in turn.  Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
-
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -106,32 +115,46 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.piecewise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not any(re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
+        # a special token in a text must stay in one piece
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = max(self.tok.get_vocab_size(with_added_tokens=True), 1)
+        self.kind = "<u2" if bits_for(self.size) <= 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes pieces that were not seen before; simple ones as one text, told apart by their pre-token numbers."""
+        simple = [p for p in new if _SIMPLE.fullmatch(p)]
+        rest = [p for p in new if not _SIMPLE.fullmatch(p)]
+        for s in range(0, len(simple), 5000):
+            part = simple[s : s + 5000]
+            e = self.tok.encode("".join(part), add_special_tokens=False)
+            ids, word = np.array(e.ids, self.kind), np.array(e.word_ids, np.int64)
+            if not len(word) or word[-1] + 1 != len(part):
+                rest += part
+                continue
+            cut = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
+            raw, w = ids.tobytes(), ids.itemsize
+            self.known.update((p, raw[cut[k] * w : cut[k + 1] * w]) for k, p in enumerate(part))
+        self.known.update(zip(rest, self.whole(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        """Ids of each text as little-endian integers of two bytes, or four for a large vocabulary."""
         if not self.piecewise:
             return self.whole(texts)
-        known, out = self.known, []
-        for text in texts:
-            if _ODD.search(text):
-                out.append(self.whole([text])[0])
-                continue
-            pieces = _PIECE.findall(text)
-            got = list(map(known.get, pieces))
-            if None in got:
-                new = list({p for p, g in zip(pieces, got) if g is None})
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                fresh = dict(zip(new, self.whole(new)))
-                known.update(fresh)
-                got = [fresh[p] if g is None else g for p, g in zip(pieces, got)]
-            out.append(b"".join(got))
-        return out
+        if len(self.known) > CACHE:
+            self.known.clear()
+        odd = [bool(_ODD.search(t) or _FAR.search(t)) or any(x in t for x in self.special) for t in texts]
+        pieces = [[] if o else _PIECE.findall(t) for t, o in zip(texts, odd)]
+        known = self.known
+        new: set[str] = set()
+        for p in pieces:
+            new.update(p)
+        self.learn([p for p in new if p not in known])
+        return [self.whole([t])[0] if o else b"".join(map(known.__getitem__, p)) for t, o, p in zip(texts, odd, pieces)]
 
 
 def _encode(path: str, bounds: np.ndarray, end_id: int):
@@ -141,14 +164,12 @@ def _encode(path: str, bounds: np.ndarray, end_id: int):
         if not made:
             made.append(Encoder(path))
         enc = made[0]
-        bits = bits_for(enc.size)
-        small_id = "<u2" if bits <= 16 else "<u4"
-        tail = np.array([end_id], small_id).tobytes()
+        tail = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
                 ids = part.column("doc_id")
-                data = [np.frombuffer(b, np.uint32).astype(small_id).tobytes() + tail for b in enc.encode([t or "" for t in part.column("text").to_pylist()])]
+                data = [b + tail for b in enc.encode([t or "" for t in part.column("text").to_pylist()])]
                 shard = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
                 yield pa.record_batch([ids, pa.array(shard, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "shard", "ids"])
 
