@@ -119,3 +119,44 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 from .chat import ORACLE as _CHAT  # noqa: E402
 
 ORACLE_SQL["op2_chat_format"] = _CHAT
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL["op9_near_dedup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM reach r JOIN edges e ON r.y = e.a),
+roots AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM roots LEFT JOIN n USING (doc_id)
+"""
+
+from . import licenses as _licenses  # noqa: E402
+
+
+def _license_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in _licenses.PHRASES.items())
+    templates = ", ".join(f"('{label}', {quoted(sorted(set(text.split())))})" for label, text in _licenses.TEMPLATES)
+    return rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents),
+p(ph, label) AS (VALUES {phrases}),
+t(label, tw) AS (VALUES {templates}),
+places AS (SELECT doc_id, label, k - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d), p WHERE w[k] = ph[1] AND list_slice(w, k, k + len(ph) - 1) = ph),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, list_slice(w, b * {_licenses.STEP} + 1, b * {_licenses.STEP} + {_licenses.WINDOW}) AS bw
+           FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // {_licenses.STEP} + 1)) AS b FROM d WHERE len(w) > 0)),
+hits AS (SELECT doc_id, label, c / len(tw) AS containment FROM (SELECT doc_id, label, tw, len(list_intersect(tw, bw)) AS c FROM blocks, t) WHERE c >= ceil({_licenses.THRESHOLD} * len(tw) - 1e-9)),
+best AS (SELECT doc_id, max(containment) AS best FROM hits GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+ORACLE_SQL["op8_license_scan"] = _license_sql()
