@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -405,7 +406,7 @@ def test_oracle(spark, name):
     want = con.sql(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
     cols = sorted(want.columns)
-    say = lambda x: "NULL" if x is None or x != x or str(x) == "<NA>" else f"{float(x):.9g}" if isinstance(x, (int, float)) else str(x)
+    say = lambda x: "NULL" if pd.isna(x) else f"{float(x):.9g}" if isinstance(x, (int, float)) else str(x)
     rows = lambda f: sorted(tuple(map(say, r)) for r in f[cols].astype(object).values.tolist())
     assert rows(got) == rows(want) and sorted(got.columns) == cols
 
