@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,3 +90,9 @@ def batches_of(stream: DataFrame, size: int, seconds: int, handle: Callable[[Dat
         handle(df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size)), epoch)
 
     return stream.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(each)
+
+
+def client_ip(forwarded: Column, real: Column, peer: Column) -> Column:
+    """First forwarded address, else the real one, else the peer: the key of a rate limit."""
+    first = F.trim(F.split(forwarded, ",")[0])
+    return F.coalesce(F.when(F.length(first) > 0, first), real, peer)
