@@ -2,7 +2,7 @@
 
 A text is a weighted set: its words (A-Z lower-cased, cut at blanks) with their
 counts.  For sample i and term k two gamma variables r and c and a uniform b are
-read off hashes of (k, i).  With t = floor(ln(weight) / r + b) the term's value is
+read off one hash of (k, i), the gamma ones through a table of quantiles.  With t = floor(ln(weight) / r + b) the term's value is
 ln(c) - r (t - b + 1), and the sample is the (term, t) of the least value.  Two
 texts share a sample with a probability equal to the generalised Jaccard
 similarity of their weighted sets, the sum of minima over the sum of maxima.
@@ -14,19 +14,23 @@ document", the words, their counts and the samples are all found in one place.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import small
 
-SAMPLES = 64
-#: Samples that one row of the aggregation carries.
-GROUP = 16
+SAMPLES = 48
+#: Samples that one row of the aggregation carries: few, so that its code stays small enough to be compiled.
+GROUP = 2
+#: Cells of the quantile table of the gamma distribution.
+CELLS = 256
 #: Rows to a bucket at least, buckets at most, and bytes of text to a partition.
 BUCKET_ROWS = 64
 MAX_BUCKETS = 100_000
-PARTITION_BYTES = 8 << 20
+PARTITION_BYTES = 4 << 20
 MAX_PARTITIONS = 100_000
 BLANKS = "[ \\t-\\r]+"
 
@@ -35,22 +39,63 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _uniform(h: Column, shift: int, bits: int) -> Column:
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
+def gamma_quantiles(cells: int = CELLS) -> list[float]:
+    """Quantiles of the gamma distribution of shape 2 at the squares of 0, 1/cells, ... 1, by bisection.
+
+    Squares, because the quantile is nearly linear in the root of the probability
+    where it is small, and the least values decide.  The ends stand a little inside.
+    """
+    out = []
+    for k in range(cells + 1):
+        u = min(max(k, 0.25) / cells, 1 - 0.02 / cells) ** 2
+        lo, hi = 0.0, 40.0
+        for _ in range(60):
+            x = (lo + hi) / 2
+            if 1 - (1 + x) * math.exp(-x) < u:
+                lo = x
+            else:
+                hi = x
+        out.append((lo + hi) / 2)
+    return out
+
+
+def _cell(h: Column, shift: int) -> Column:
+    """20 bits of a hash as a place in the table: the root of a uniform number."""
+    u = (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0xFFFFF)).cast("double") + 0.5) / float(1 << 20)
+    return F.sqrt(u) * float(CELLS)
 
 
-def sampled(term: Column, weight: Column, sample: Column) -> Column:
-    """A term's value and identity for one sample as one long: ordered by value, the low 32 bits name (term, t)."""
-    a, b = F.xxhash64(term, sample), F.xxhash64(term, sample, F.lit(1))
-    r = -F.ln(_uniform(a, 0, 16) * _uniform(a, 16, 16))
-    c = -F.ln(_uniform(a, 32, 16) * _uniform(a, 48, 16))
-    u = _uniform(b, 32, 20)
-    t = F.floor(F.ln(weight) / r + u)
-    value = F.ln(c) - r * (t - u + 1)
-    # the value lies between -45 and 4
-    order = ((value + 48) * float(1 << 25)).cast("long")
-    name = b.bitwiseXOR(t * 2654435761).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.when(term.isNotNull(), F.shiftleft(order, 32).bitwiseOR(name))
+def _look(table: Column, place: Column) -> Column:
+    k = place.cast("int")
+    a = F.coalesce(F.element_at(table, k + 1), F.lit(0.0))
+    return a + (place - k) * (F.coalesce(F.element_at(table, k + 2), F.lit(0.0)) - a)
+
+
+def add_samples(rows: DataFrame, first: Column, count: int, weights: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds, for ``count`` samples from number ``first``, one long for each weight column (given as logarithms).
+
+    The upper half of the long orders the terms of a text, the lower names (term, t).
+    One hash of (term, sample) gives all of its random numbers.
+    """
+    q = gamma_quantiles()
+    plain, logs = F.array(*[F.lit(x) for x in q]), F.array(*[F.lit(math.log(x)) for x in q])
+    rows = rows.withColumns({f"h{j}": F.xxhash64("term", first + j) for j in range(count)})
+    rows = rows.withColumns({f"c{j}": _cell(F.col(f"h{j}"), 0) for j in range(count)} | {f"r{j}": _cell(F.col(f"h{j}"), 20) for j in range(count)})
+    rows = rows.withColumns(
+        {f"c{j}": _look(logs, F.col(f"c{j}")) for j in range(count)}
+        | {f"r{j}": _look(plain, F.col(f"r{j}")) for j in range(count)}
+        | {f"u{j}": (F.shiftrightunsigned(f"h{j}", 40).bitwiseAND(F.lit(0xFFFFF)).cast("double") + 0.5) / float(1 << 20) for j in range(count)}
+    )
+    rows = rows.withColumns({f"{w}_t{j}": F.floor(F.col(w) / F.col(f"r{j}") + F.col(f"u{j}")) for w in weights for j in range(count)})
+    out = {}
+    for w in weights:
+        for j in range(count):
+            t = F.col(f"{w}_t{j}")
+            value = F.col(f"c{j}") - F.col(f"r{j}") * (t - F.col(f"u{j}") + 1)
+            name = F.shiftrightunsigned(f"h{j}", 20).bitwiseXOR(t * 2654435761).bitwiseAND(F.lit(0xFFFFFFFF))
+            # the value lies between -60 and 4
+            out[f"{w}_{j}"] = F.shiftleft(((value + 60) * float(1 << 24)).cast("long"), 32).bitwiseOR(name)
+    return rows.withColumns(out), list(out)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -103,7 +148,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.when(~F.col("copy"), F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(coalesce(after, ''), cast(floor(length(text) / 2) as int))")))
     rows = rows.select("bucket", "pos", "copy", "doc_id", n.cast("long").alias("n_chars"), F.array("text", edited).alias("texts"))
-    rows = rows.withColumn("sha", F.unhex(F.sha2(F.encode(F.col("texts")[1], "UTF-8"), 256)))
+    rows = rows.withColumn("sha", F.sha2(F.encode(F.col("texts")[1], "UTF-8"), 256))
     key = ["bucket", "pos", "copy", "doc_id", "n_chars", "sha"]
     each = rows.select(*key, F.posexplode("texts").alias("which", "text")).where("text is not null")
     words = each.select(*key, "which", F.explode(F.split(lower_ascii(F.col("text")), BLANKS)).alias("word"))
@@ -111,13 +156,10 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.sum(F.when(F.col("which") == 0, 1).otherwise(0)).alias("w0"), F.sum(F.when(F.col("which") == 1, 1).otherwise(0)).alias("w1")
     )
     groups = samples // GROUP
-    dealt = counted.withColumn("g", F.explode(F.array(*[F.lit(k) for k in range(groups)])))
-    mins = []
-    for j in range(GROUP):
-        i = F.col("g") * GROUP + j
-        for w in ("w0", "w1"):
-            mins.append(F.min(F.when(F.col(w) > 0, sampled(F.col("term"), F.col(w).cast("double"), i))).alias(f"{w}_{j}"))
-    least = dealt.groupBy(*key, "g").agg(*mins)
+    logged = counted.select(*key, "term", *[F.when(F.col("term").isNotNull() & (F.col(w) > 0), F.ln(F.col(w).cast("double"))).alias(w) for w in ("w0", "w1")])
+    dealt = logged.withColumn("g", F.explode(F.array(*[F.lit(k) for k in range(groups)])))
+    valued, names = add_samples(dealt, F.col("g") * GROUP, GROUP, ["w0", "w1"])
+    least = valued.groupBy(*key, "g").agg(*[F.min(c).alias(c) for c in names])
     parts_ = least.select(*key, "g", *[F.when(F.col(f"{w}_0").isNotNull(), F.array(*[F.col(f"{w}_{j}").bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(GROUP)])).alias(w) for w in ("w0", "w1")])
     gathered = parts_.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("g", "w0", "w1"))).alias("all"))
     # concat is null when any of its parts is: all are, or none
@@ -127,7 +169,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return out.select(
         "doc_id",
         "n_chars",
-        F.lower(F.hex("sha")).alias("edited_sha256"),
+        F.col("sha").alias("edited_sha256"),
         as_text(F.col("sig")).alias("fingerprint"),
         as_text(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
