@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .common import small
 
-SAMPLES = 48
+SAMPLES = 64
 #: Samples that one row of the aggregation carries: few, so that its code stays small enough to be compiled.
 GROUP = 2
 #: Cells of the quantile table of the gamma distribution.
