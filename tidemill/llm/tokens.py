@@ -37,7 +37,7 @@ BLOCK_IDS = 1 << 16
 SHARD_ROWS = 20_000
 MAX_SHARDS = 20_000
 #: Pieces of text whose ids a task remembers.
-CACHE = 400_000
+CACHE = 700_000
 
 
 def default_tokenizer() -> str:
@@ -125,10 +125,11 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Encodes pieces that were not seen before; simple ones as one text, told apart by their pre-token numbers."""
-        simple = [p for p in new if _SIMPLE.fullmatch(p)]
-        rest = [p for p in new if not _SIMPLE.fullmatch(p)]
+        simple, rest = [], []
+        for p in new:
+            (simple if _SIMPLE.fullmatch(p) else rest).append(p)
         for s in range(0, len(simple), 5000):
             part = simple[s : s + 5000]
             e = self.tok.encode("".join(part), add_special_tokens=False)
@@ -153,7 +154,7 @@ class Encoder:
         new: set[str] = set()
         for p in pieces:
             new.update(p)
-        self.learn([p for p in new if p not in known])
+        self.learn(new.difference(known))
         return [self.whole([t])[0] if o else b"".join(map(known.__getitem__, p)) for t, o, p in zip(texts, odd, pieces)]
 
 
