@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import attachments, chunking, dedup, drafts, metrics, search, threading
-from ..sources import messages
+from ..operators import attachments, audit, chunking, dedup, drafts, jobs, metrics, search, threading
+from ..sources import checkpoints, messages
 from ..streaming import guards
 from .catalog import _ANALYZE, _JOBS, _PERF_SQL, _SCORES_SQL, _jobs, _list, _performance, _scores, _thread_messages, query, t
 
@@ -161,3 +161,46 @@ def lineage_semijoin(spark, sf):
 @query("SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')) >= 100")
 def near_dup_candidates(spark, sf):
     return dedup.near_candidates(t(spark, sf, "documents"), "text").select("doc_id")
+
+
+@query("SELECT sha256('t:' || doc_id) AS id, doc_id AS chunk_id, 'pending' AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def enqueue_jobs(spark, sf):
+    d = t(spark, sf, "documents").select(F.lit("t").alias("tenant_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("email_id"), F.col("text").alias("content"))
+    new = jobs.enqueue(d, t(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id")), F.lit("2024-01-01").cast("timestamp"))
+    return new.select("id", "chunk_id", "status")
+
+
+@query("SELECT event_type, round(avg((event_id % 20 <> 0)::INT), 6) AS success_rate, round(quantile_cont(value, 0.95), 6) AS p95_ms, CASE WHEN avg((event_id % 20 <> 0)::INT) >= 0.95 THEN 'healthy' WHEN avg((event_id % 20 <> 0)::INT) >= 0.8 THEN 'degraded' ELSE 'unhealthy' END AS status FROM events GROUP BY 1")
+def embedding_health(spark, sf):
+    e = t(spark, sf, "events").select("event_type", (F.col("event_id") % 20 != 0).alias("ok"), F.col("value").alias("ms"))
+    return jobs.health(e, ["event_type"]).select("event_type", F.round("success_rate", 6).alias("success_rate"), F.round("p95_ms", 6).alias("p95_ms"), "status")
+
+
+@query(
+    """
+WITH s AS (SELECT user_id, count(*) AS steps, round(sum(value), 6) AS total_ms, list_sort(list(value) FILTER (value > 0)) AS v, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1),
+c AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 5 = 0) AS u FROM events GROUP BY 1)
+SELECT user_id AS workflow_id, steps, total_ms, v[CAST(floor(len(v) * 0.95) AS INTEGER) + 1] AS p95_ms, failures, round(u / n, 6) AS retrieval_hit_k FROM s JOIN c USING (user_id)
+"""
+)
+def audit_trace(spark, sf):
+    e = t(spark, sf, "events")
+    steps = e.select(F.col("user_id").alias("workflow_id"), F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
+    cites = e.select(F.col("user_id").alias("workflow_id"), F.col("event_id").alias("chunk_uid"))
+    out = audit.export_trace(steps, audit.mark_used(cites, cites.where("chunk_uid % 5 = 0")))
+    return out.withColumn("total_ms", F.round("total_ms", 6)).withColumn("retrieval_hit_k", F.round("retrieval_hit_k", 6))
+
+
+@query("SELECT user_id % 5 AS batch_id, count(*) FILTER (event_id % 4 = 0) AS processed_emails, count(*) FILTER (event_id % 4 = 1) AS failed_emails, max(CAST(event_id AS VARCHAR)) AS last_processed_email, true AS is_complete FROM events GROUP BY 1")
+def checkpoint_progress(spark, sf):
+    k = F.col("event_id") % 4
+    e = t(spark, sf, "events").select((F.col("user_id") % 5).alias("batch_id"), F.col("event_id").cast("string").alias("path"), F.when(k == 0, "processed").when(k == 1, "failed").otherwise("quarantined").alias("kind"))
+    c = checkpoints.progress_of(e, e.groupBy("batch_id").agg(F.count("*").alias("total_emails")), F.lit("2024-01-31").cast("timestamp"))
+    return c.select("batch_id", "processed_emails", "failed_emails", "last_processed_email", "is_complete")
+
+
+@query()
+def embed_jobs(spark, sf):
+    d = t(spark, sf, "documents").select(F.lit("t").alias("tenant_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("email_id"), F.col("text").alias("content"))
+    new = jobs.enqueue(d, t(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id")), F.lit("2024-01-01").cast("timestamp"))
+    return jobs.embed(new).select("chunk_id", "status", F.size("embedding").alias("dims"))
