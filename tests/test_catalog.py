@@ -181,3 +181,25 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     assert {r.event_id: r.admitted for r in spark.table("adm").collect()} == batch
     with pytest.raises(ValueError):
         search.search_filters(df, None)
+
+
+def test_daily_cost_covers_every_event(spark):
+    got = catalog.QUERIES["daily_cost_guard_all"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert {r.allowed for r in got.select("allowed").distinct().collect()} == {True, False}
+
+
+def test_running_budget_in_slices(spark):
+    """One day over many slices, with ties, nulls and a null key."""
+    day = datetime.datetime(2024, 1, 1)
+    at = [day + datetime.timedelta(seconds=k // 3) for k in range(600)]
+    events = spark.createDataFrame([(k, at[k], None if k % 7 == 0 else float(k % 5), None if k % 2 else "a") for k in range(600)], "event_id long, ts timestamp, value double, who string")
+    for keys in ([], ["who"]):
+        df = guards.running_budget(events.repartition(5), "day", "value", 300, keys)
+        spent = {}
+        for r in sorted(df.collect(), key=lambda r: (r.ts, r.event_id)):
+            key = r.who if keys else 0
+            if r.value is not None:
+                spent[key] = spent.get(key, 0.0) + r.value
+            assert r.spent == spent.get(key) and r.allowed == (None if r.spent is None else r.spent <= 300)
+    assert "_slice" in guards.running_budget(events, "day", "value", 300)._jdf.queryExecution().optimizedPlan().toString()

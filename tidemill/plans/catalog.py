@@ -888,6 +888,14 @@ def daily_cost_guard(spark, sf):
     return running_budget(t(spark, sf, "events").where("user_id = 3"), "day", "value", None).select("event_id", F.col("bucket").alias("day"), F.round("spent", 6).alias("spent"))
 
 
+@query("WITH s AS (SELECT event_id, date_trunc('day', ts) AS day, round(sum(value) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events) SELECT event_id, day, spent, spent <= 100 AS allowed FROM s")
+def daily_cost_guard_all(spark, sf):
+    from ..streaming.guards import running_budget
+
+    b = running_budget(t(spark, sf, "events"), "day", "value", 100).withColumn("spent", F.round("spent", 6))
+    return b.select("event_id", F.col("bucket").alias("day"), "spent", (F.col("spent") <= 100).alias("allowed"))
+
+
 @query("WITH s AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events) SELECT user_id, event_id, s <= 150 AS allowed FROM s")
 def hourly_token_guard(spark, sf):
     from ..streaming.guards import running_budget

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.work import ship
+from ..sources.work import cut, ship
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -24,8 +24,22 @@ def attempts_in(events: DataFrame, key: str, seconds: int, ts: str = "ts") -> Da
 def running_budget(events: DataFrame, unit: str, amount: str, limit: float | None, keys: list[str] | None = None, ts: str = "ts") -> DataFrame:
     """Adds what was spent in the event's day or hour so far, and whether that is within ``limit``."""
     bucket = F.date_trunc(unit, ts)
-    w = Window.partitionBy(*(keys or []), bucket).orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = events.withColumn("bucket", bucket).withColumn("spent", F.sum(amount).over(w))
+    group = [*(keys or []), "bucket"]
+    # slices in order of time, so that no day has to fit one task; written once, as a slice's bounds come from a sample
+    dealt = events.withColumn("bucket", bucket).repartitionByRange(*group, ts, "event_id").withColumn("_slice", F.spark_partition_id())
+    dealt = cut(dealt, events.sparkSession)
+    sums = dealt.groupBy(*group, "_slice").agg(F.sum(amount).alias("_sum"))
+    w = Window.partitionBy(*group).orderBy("_slice")
+    # only the first group of a slice began in an earlier one, so these rows are no more than the slices
+    carried = sums.withColumn("_before", F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_nth", F.row_number().over(w)).where("_nth > 1")
+    same = F.col("d._slice") == F.col("c._slice")
+    for k in group:
+        same &= F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
+    out = dealt.alias("d").join(F.broadcast(carried.alias("c")), same, "left").select("d.*", "c._before")
+    so_far = F.sum(amount).over(Window.partitionBy(*group, "_slice").orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    # a sum of nulls only is null
+    spent = F.when(F.col("_before").isNull(), so_far).otherwise(F.col("_before") + F.coalesce(so_far, F.lit(0)))
+    out = out.withColumn("spent", spent).drop("_slice", "_before")
     return out.withColumn("allowed", F.lit(True) if limit is None else F.col("spent") <= limit)
 
 
