@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,6 +94,28 @@ def test_min_max_signature_is_unbiased():
     assert near_dedup.miss_probability(0.75) < 1e-5
 
 
+def test_bands_take_different_permutations():
+    """Two sets of 3 and 4 shingles share a band as often as four independent values agree: 0.75 ** 4."""
+    rng = np.random.default_rng(2)
+    n = 3000
+    words = [[f"w{x}" for x in rng.integers(0, 10**9, 8)] for _ in range(n)]
+    keys = []
+    for cut in (8, 7):
+        batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array([" ".join(w[:cut]) for w in words])], names=["doc_id", "text"])
+        keys.append(np.array(sum((b.column(4).to_pylist() for b in near_dedup._sketch(5, 64, 4)([batch])), [])))
+    assert abs((keys[0] == keys[1]).mean() - 0.75**4) < 0.01
+    missed = near_dedup.miss_probability(0.75, union=4)
+    assert missed < near_dedup.miss_probability(0.75, union=8) < near_dedup.miss_probability(0.75) < 6e-6
+
+
+def test_tile_decides_on_full_sets_alone():
+    """A pair at exactly 0.75 is linked whatever share of its signature values agrees."""
+    sets = [np.arange(100, 107, dtype=np.uint64), np.arange(101, 108, dtype=np.uint64)]
+    pdf = pd.DataFrame({"key": [7, 7], "lo": [0, 0], "hi": [0, 0], "node": [1, 2], "root": [1, 2], "n_shingles": [7, 7], "part": [0, 0], "keys": [np.array([7]), np.array([7])], "members": [x.tobytes() for x in sets]})
+    pdf["sig"] = [np.arange(k, k + 128, dtype=np.uint32).tobytes() for k in (0, 500)]
+    assert near_dedup._tile_links(75, 100)(pdf).to_numpy().tolist() == [[1, 2]]
+
+
 # ---------------------------------------------------------------- decontamination
 def brute_contamination(docs, bench):
     out = {}

@@ -13,8 +13,8 @@ Work is kept linear in the presence of very large groups:
   that is the text they were edited from);
 * members of one bucket that those links already put into one component need no
   further comparison; only pairs between different components remain.  A large
-  bucket of such members is split into tiles, which are compared in numpy by
-  signature and then by full set, and return one link between two components.
+  bucket of such members is split into tiles, which are compared in numpy on the
+  full sets and return one link between two components.
 """
 
 from __future__ import annotations
@@ -60,7 +60,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
 
 
 def signatures(values: np.ndarray, at: np.ndarray, perms: int) -> np.ndarray:
-    """(rows, 2 * perms) min-max signatures as 32-bit values; rows without shingles are zeros."""
+    """(rows, 2 * perms) signatures as 32-bit values, all minima before all maxima; rows without shingles are zeros.
+
+    Neighbouring values are of different permutations: a minimum and a maximum of
+    the same one agree together less often than two independent values do.
+    """
     out = np.zeros((len(at) - 1, 2 * perms), np.uint32)
     full = np.flatnonzero(np.diff(at))
     if not len(full):
@@ -74,8 +78,8 @@ def signatures(values: np.ndarray, at: np.ndarray, perms: int) -> np.ndarray:
             x *= add[p] | U64(1)
             x >>= U64(32)
             x = x.astype(np.uint32)
-            out[full, 2 * p] = np.minimum.reduceat(x, cuts)
-            out[full, 2 * p + 1] = np.maximum.reduceat(x, cuts)
+            out[full, p] = np.minimum.reduceat(x, cuts)
+            out[full, perms + p] = np.maximum.reduceat(x, cuts)
     return out
 
 
@@ -109,7 +113,6 @@ def _sketch(width: int, perms: int, rows: int, full: bool = False):
                     "keys": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(live * bands)]).astype(np.int32)), pa.array(key[live].ravel().view(np.int64))),
                 }
                 if full:
-                    cols["sig"] = pa.array([sig[r].tobytes() if live[r] else b"" for r in range(len(n))], pa.binary())
                     cols["members"] = pa.array([values[at[r] : at[r + 1]].tobytes() for r in range(len(n))], pa.binary())
                 yield pa.record_batch(list(cols.values()), names=list(cols))
 
@@ -117,8 +120,8 @@ def _sketch(width: int, perms: int, rows: int, full: bool = False):
 
 
 def sketch(docs: DataFrame, width: int, perms: int, rows: int, full: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, keys): set size, set digest and band keys; with ``full`` also sig and members, the set."""
-    cols = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>" + (", sig binary, members binary" if full else "")
+    """(doc_id, n_shingles, d1, d2, keys): set size, set digest and band keys; with ``full`` also members, the set."""
+    cols = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>" + (", members binary" if full else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch(width, perms, rows, full), cols)
 
 
@@ -158,12 +161,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[int
     return both.select("b", "a", "tb", "ta").mapInArrow(_confirm(width, *threshold), "a long, b long")
 
 
-def _tile_links(num: int, den: int, slack: float):
+def _tile_links(num: int, den: int):
     """Links between different components in one tile (the members of a bucket, or two slices of them).
 
-    A pair is looked at in the first band that its members share.  Pairs whose
-    signatures promise too little are skipped, the rest is decided on the full sets;
-    of the links between two components one is returned.
+    A pair is looked at in the first band that its members share.  Pairs of too
+    different lengths cannot be similar enough, the rest is decided on the full
+    sets; of the links between two components one is returned.
     """
 
     def run(pdf):
@@ -177,7 +180,6 @@ def _tile_links(num: int, den: int, slack: float):
         ids, comp, n, part = (pdf[c].to_numpy() for c in ("node", "root", "n_shingles", "part"))
         comp = comp.copy()
         sets = [np.frombuffer(x, U64) for x in pdf["members"]]
-        sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]]) if len(pdf) else None
         lo, hi = (pdf[c].iloc[0] if len(pdf) else 0 for c in ("lo", "hi"))
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         got = []
@@ -185,7 +187,6 @@ def _tile_links(num: int, den: int, slack: float):
             js = right[(comp[right] != comp[i]) & ((lo != hi) | (right > i))]
             js = js[den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i])]
             js = js[(keys[js] == keys[i]).argmax(axis=1) == band] if len(js) else js
-            js = js[(sig[js] == sig[i]).mean(axis=1) >= num / den - slack] if len(js) else js
             if not len(js):
                 continue
             values = np.concatenate([sets[j] for j in js])
@@ -209,7 +210,6 @@ def near_duplicates(
     perms: int = 64,
     rows: int = 4,
     tile: int = 1500,
-    slack: float = 0.15,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -220,7 +220,8 @@ def near_duplicates(
     repeat a doc_id are linked by their texts and returned as often; a null doc_id
     keeps a null component_id and is kept.  Other columns are ignored.  With 64
     permutations and bands of 4 rows a pair at 0.75 is missed with a probability
-    of 5e-6; pairs of equal sets are never missed.
+    of 5e-6 at most, and of 1e-6 when its sets have 4 shingles together
+    (``miss_probability``); pairs of equal sets are never missed.
     """
     num, den = threshold
     work = Work(docs.sparkSession, "near")
@@ -259,8 +260,8 @@ def near_duplicates(
     )
     open_ = placed.join(mixed.select("key"), "key", "left_semi").select(F.col("node").alias("doc_id")).distinct()
     sets_of = sketch(texts.join(open_, "doc_id", "left_semi"), width, perms, rows, full=True)
-    signed = tiles.drop("n_shingles").join(sets_of.select(F.col("doc_id").alias("node"), "n_shingles", "keys", "sig", "members"), "node")
-    late = signed.groupBy("key", "lo", "hi").applyInPandas(_tile_links(num, den, slack), "a long, b long")
+    signed = tiles.drop("n_shingles").join(sets_of.select(F.col("doc_id").alias("node"), "n_shingles", "keys", "members"), "node")
+    late = signed.groupBy("key", "lo", "hi").applyInPandas(_tile_links(num, den), "a long, b long")
     linked = work.table(links.unionByName(late), "all-links")
     comp = components(linked, work)
 
@@ -276,8 +277,16 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def miss_probability(similarity: float, perms: int = 64, rows: int = 4) -> float:
-    return math.pow(1 - math.pow(similarity, rows), 2 * perms // rows)
+def miss_probability(similarity: float, perms: int = 64, rows: int = 4, union: int | None = None) -> float:
+    """Probability that no band of a pair agrees, for sets of ``union`` shingles together or for large ones.
+
+    A band of minima and the band of maxima of the same permutations depend on each
+    other: of n shingles, s of them shared, both ends are shared with s (s - 1) / (n (n - 1)).
+    """
+    ends = similarity**2
+    if union is not None:
+        ends = similarity * (similarity * union - 1) / (union - 1) if union > 1 else similarity
+    return math.pow(1 - 2 * math.pow(similarity, rows) + math.pow(ends, rows), perms // rows)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
