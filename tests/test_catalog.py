@@ -203,3 +203,9 @@ def test_running_budget_in_slices(spark):
                 spent[key] = spent.get(key, 0.0) + r.value
             assert r.spent == spent.get(key) and r.allowed == (None if r.spent is None else r.spent <= 300)
     assert "_slice" in guards.running_budget(events, "day", "value", 300)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["vector_topk", "vector_topk_threshold_after"])
+def test_vector_queries_in_blocks(spark, con, name, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_ROWS", 3)
+    assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(catalog.SQL[name]).df())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,13 +97,20 @@ def fuzzy_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = 0.7, after: bool = False) -> DataFrame:
     """Top k by cosine of every query vector: query_id, vec_id, score, rank.
 
-    ``queries`` (query_id, q) is a stated query set and is sent to all vectors in
-    one broadcast when its counted rows allow.  The threshold applies before the
-    cut, or after it with ``after``.
+    ``queries`` (query_id, q) is sent to all vectors in one broadcast when its counted
+    rows allow, and else in blocks of about half the bound, dealt by a hash of the id;
+    all vectors meet every block.  The threshold applies before the cut, or after it
+    with ``after``.
     """
     rows = queries.count()
     if rows > QUERY_ROWS:
-        raise ValueError("search in batches of at most %d queries" % QUERY_ROWS)
+        n = -(-2 * rows // QUERY_ROWS)
+        block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+        return reduce(DataFrame.unionByName, [_vector_block(vectors, queries.where(block == i), k, threshold, after) for i in range(n)])
+    return _vector_block(vectors, queries, k, threshold, after)
+
+
+def _vector_block(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None, after: bool) -> DataFrame:
     hits = vectors.join(F.broadcast(queries)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
     if threshold is not None and not after:
         hits = hits.where(F.col("score") >= threshold)
