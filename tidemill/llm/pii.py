@@ -306,8 +306,8 @@ def seeds(text: str):
         m = _HIT.search(text, done)
 
 
-#: Tokens of one segment; a longer run is cut, with this much overlap of context.
-_SEGMENT = 48
+#: Bounds of one batch of segments: how many, and their tokens after padding.  A longer run is a batch of its own, never cut.
+_BATCH, _CELLS = 512, 1 << 16
 
 
 def _tail(text: str, segment: list[tuple[int, int]], end: int, stop: int) -> None:
@@ -328,7 +328,7 @@ def segments(text: str) -> list[list[tuple[int, int]]]:
         if lo > end and before and before[0][0] == lo:
             before = before[1:]  # it may be cut
         near = not before or (before[0][0] - end < 2 and len(before) <= 2 * _REACH)
-        if out and near and len(out[-1]) < _SEGMENT:
+        if out and near:
             out[-1].extend([*before, (start, stop)])
         else:
             if out:
@@ -352,13 +352,29 @@ def _valid(kind: int, s: str) -> bool:
     return 10 <= len(d) <= 15 and not re.search(r"[^0-9 ().+-]", s) and 3 <= len(groups) <= 6 and all(2 <= len(g) <= 5 for g in groups[1:])
 
 
+def _batches(work: list):
+    """``work``, sorted by length, in batches of bounded size."""
+    part: list = []
+    for w in work:
+        if part and (len(part) == _BATCH or (len(part) + 1) * len(w[1]) > _CELLS):
+            yield part
+            part = []
+        part.append(w)
+    if part:
+        yield part
+
+
 def crf_spans(net: Crf, texts: list[str], known: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """Spans that the field adds to the known ones, for a batch of texts."""
     work = [(i, seg) for i, t in enumerate(texts) if _HIT.search(t) for seg in segments(t)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     work.sort(key=lambda w: len(w[1]))
-    for s in range(0, len(work), 512):
-        part = work[s : s + 512]
+    # what is already in a span, by code point
+    taken = {i: bytearray(len(texts[i])) for i, _ in work}
+    for i, marks in taken.items():
+        for _, x, y in known[i]:
+            marks[x:y] = b"\1" * (y - x)
+    for part in _batches(work):
         n = max(len(seg) for _, seg in part)
         score = np.zeros((len(part), n, len(LABELS)))
         size = np.array([len(seg) for _, seg in part])
@@ -387,8 +403,9 @@ def crf_spans(net: Crf, texts: list[str], known: list[list[tuple[int, int, int]]
                     a += 1
                 while b > a and texts[i][b - 1] in _EDGE:
                     b -= 1
-                if a < b <= a + _LONGEST and _valid(kind, texts[i][a:b]) and not any(x < b and y > a for _, x, y in known[i] + out[i]):
+                if a < b <= a + _LONGEST and _valid(kind, texts[i][a:b]) and taken[i].find(1, a, b) < 0:
                     out[i].append((int(kind), a, b))
+                    taken[i][a:b] = b"\1" * (b - a)
                 t = u
     return out
 
