@@ -209,3 +209,12 @@ def test_running_budget_in_slices(spark):
 def test_vector_queries_in_blocks(spark, con, name, monkeypatch):
     monkeypatch.setattr(search, "QUERY_ROWS", 3)
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(catalog.SQL[name]).df())
+
+
+def test_minhash_has_128_permutations(spark):
+    text = " ".join(f"word{k}" for k in range(200))
+    d = spark.createDataFrame([(1, text), (2, text), (3, text + "".join(f" more{k}" for k in range(40)))], "doc_id long, text string")
+    s = dedup.minhash(d, "doc_id", "text")
+    assert {len(r.signature) for r in s.collect()} == {128}
+    got = dedup.minhash_pairs(s, "doc_id").collect()
+    assert [(r.a, r.b) for r in got] == [(1, 3)] and 0 < got[0].similarity < 1

@@ -194,10 +194,34 @@ SELECT doc_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS signature FROM
 """
 )
 def minhash_signature(spark, sf):
+    s = dedup.minhash(t(spark, sf, "documents"), "doc_id", "text", perms=16)
+    return s.select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+
+
+_MINHASH_SQL = f"""
+words AS (SELECT DISTINCT doc_id, unnest({_FEATURES_SQL}) AS word FROM documents),
+h AS (SELECT doc_id, CAST('0x' || md5(word)[1:7] AS BIGINT) AS h FROM words),
+m AS (SELECT doc_id, i, min(((7919 * (i + 1) + 1) * h + 104729 * (i + 1)) % 1000000007) AS v FROM h, range(0, 128) r(i) GROUP BY doc_id, i)
+"""
+
+
+@query(f"WITH {_MINHASH_SQL} SELECT doc_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS signature FROM m GROUP BY doc_id")
+def minhash_signature_128(spark, sf):
     s = dedup.minhash(t(spark, sf, "documents"), "doc_id", "text")
     return s.select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
+@query(
+    f"""WITH {_MINHASH_SQL}, s AS (SELECT doc_id, list(v ORDER BY i) AS sig FROM m GROUP BY doc_id),
+d AS (SELECT sig, min(doc_id) AS id FROM s GROUP BY sig),
+k AS (SELECT id, n, sig[4 * n + 1 : 4 * n + 4] AS band FROM d, range(0, 32) r(n)),
+p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.n = y.n AND x.band = y.band AND x.id < y.id)
+SELECT a, b, len(list_filter(range(1, 129), lambda i: x.sig[i] = y.sig[i])) / 128.0::DOUBLE AS similarity FROM p JOIN d x ON x.id = a JOIN d y ON y.id = b"""
+)
+def minhash_similarity(spark, sf):
+    return dedup.minhash_pairs(dedup.minhash(t(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def idempotent_antijoin(spark, sf):
     return dedup.drop_processed(t(spark, sf, "documents").select("doc_id"), t(spark, sf, "labels"), ["doc_id"])
