@@ -218,3 +218,8 @@ def test_minhash_has_128_permutations(spark):
     assert {len(r.signature) for r in s.collect()} == {128}
     got = dedup.minhash_pairs(s, "doc_id").collect()
     assert [(r.a, r.b) for r in got] == [(1, 3)] and 0 < got[0].similarity < 1
+
+
+def test_union_covers_every_event(spark):
+    total = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert catalog.QUERIES["union_all_types"](spark, SF).agg(F.sum("n")).first()[0] == total

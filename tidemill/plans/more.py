@@ -153,6 +153,13 @@ def union_all(spark, sf):
     return e.where("event_id % 2 = 0").unionByName(e.where("event_id % 3 = 0")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT user_id, count(*) AS n FROM (SELECT user_id, event_id FROM events WHERE event_type = 'error' UNION ALL SELECT user_id, event_id FROM events WHERE event_type <> 'error' OR event_type IS NULL) GROUP BY user_id")
+def union_all_types(spark, sf):
+    e = t(spark, sf, "events").select("user_id", "event_id", "event_type")
+    failed, others = e.where("event_type = 'error'"), e.where("event_type <> 'error' or event_type is null")
+    return failed.unionByName(others).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def lineage_semijoin(spark, sf):
     return t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
