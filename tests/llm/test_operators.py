@@ -166,13 +166,41 @@ def test_suffix_array_finds_every_window(doc, items):
     t = decontaminate.TestItems(list(range(len(items))), [" ".join(x) for x in items], 3)
     data = np.frombuffer(" ".join(doc).encode(), np.uint8)
     _, r, pos, which = decontaminate.occurrences(data, np.array([0, len(data)]), t)
-    got = {(int(p), int(t.item[w]), int(t.item_start[w])) for p, w in zip(pos, which)}
+    got = {(int(p), int(t.place_item[x]), int(t.place_off[x])) for p, w in zip(pos, which) for x in range(t.place_from[w], t.place_from[w + 1])}
+    assert len(which) == len(set(zip(pos.tolist(), which.tolist()))) <= 3 * max(1, len(doc))
     want = set()
     for i, b in enumerate(items):
         for k in range(max(1, len(b) - 2) if b else 0):
             win = b[k : k + 3]
             want |= {(p, i, k) for p in range(len(doc) - len(win) + 1) if doc[p : p + len(win)] == win}
     assert got == want and pa
+    runs = {tuple(int(x) for x in m) for part in decontaminate.longest(data, np.array([0, len(data)]), t) for m in zip(*part)}
+    brute = set()
+    for i, b in enumerate(items):
+        for p in range(len(doc)):
+            for k in range(len(b)):
+                if doc[p] == b[k] and (p == 0 or k == 0 or doc[p - 1] != b[k - 1]):
+                    n = 0
+                    while p + n < len(doc) and k + n < len(b) and doc[p + n] == b[k + n]:
+                        n += 1
+                    if n >= min(3, len(b)):
+                        brute.add((0, i, p, k, n))
+    assert runs == brute
+
+
+def test_decontamination_of_repeated_words_is_bounded():
+    """One item of 400 equal words, 2,000 items that share a window, and a text of 40,000 equal words."""
+    import tracemalloc
+
+    shared = " ".join(f"w{k}" for k in range(10))
+    t = decontaminate.TestItems(list(range(2001)), ["a " * 400] + [f"{shared} x{k}" for k in range(2000)], 10)
+    data = np.frombuffer(("a " * 40000 + f"{shared} y " * 500).encode(), np.uint8)
+    tracemalloc.start()
+    n, r, pos, which = decontaminate.occurrences(data, np.array([0, len(data)]), t)
+    names = t.items_by_row(r, which)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert len(pos) == 39991 + 500 and len(names[0]) == 2001
 
 
 # ---------------------------------------------------------------- mixing

@@ -8,6 +8,8 @@ code points.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
 
@@ -22,7 +24,7 @@ U64 = np.uint64
 #: Rows up to which a table may be broadcast after its rows were counted.
 BROADCAST_ROWS = 200_000
 #: Bytes of text handled at once inside a Python task.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- work folder
@@ -71,6 +73,28 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+# ---------------------------------------------------------------- memory
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker is used again and would else keep its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run):
+    """``run``, a function over an iterator of batches, which releases memory when its task ends."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 # ---------------------------------------------------------------- text buffers
 def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string or binary column; null rows are empty."""
@@ -155,14 +179,14 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, SHARD_BYTES + 1)
-        p = np.full(n, _BASE, U64)
-        q = np.full(n, pow(_BASE, -1, 1 << 64), U64)
+    """Powers of the base and of its inverse, for spans of up to ``SHARD_BYTES`` bytes; made once."""
+    if not _powers:
+        p = np.full(SHARD_BYTES + 1, _BASE, U64)
+        q = np.full(SHARD_BYTES + 1, pow(_BASE, -1, 1 << 64), U64)
         p[0] = q[0] = 1
         with np.errstate(over="ignore"):
             _powers[:] = [np.cumprod(p), np.cumprod(q)]
-    return _powers[0], _powers[1]
+    return _powers[0][:n], _powers[1][:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -170,27 +194,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.empty(0, U64)
     n = len(data)
-    big = n > 4 * SHARD_BYTES
-    p, q = _power_tables(n + 1) if not big else (None, None)
-    if big:  # one very long text: piece by piece, cut between words
+    if n > SHARD_BYTES:  # one very long text: piece by piece, cut between words
         out, i = [], 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + SHARD_BYTES, side="right")))
             a, b = int(starts[i]), int(ends[j - 1])
-            if b - a > 4 * SHARD_BYTES:  # one word of many MB
-                import hashlib
-
+            if b - a > SHARD_BYTES:  # one word of more than a MB
                 out.append(np.array([int.from_bytes(hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest(), "little")], U64))
             else:
                 out.append(span_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a))
             i = j
         return np.concatenate(out)
+    p, q = _power_tables(n + 1)
     with np.errstate(over="ignore"):
         h = np.empty(n + 1, U64)
         h[0] = 0
         np.cumsum(_BYTE[data] * p[:n], out=h[1:])
         return mix((h[ends] - h[starts]) * q[starts])
-
-
-def pass_through(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(n)) for n in names]

@@ -8,6 +8,10 @@ all its places.  Windows that follow one another on a diagonal are joined to the
 longest verbatim matches.  A document never leaves its task, so nothing is
 shuffled; the test items are the stated query set and go to the tasks by
 broadcast up to a counted bound, in blocks beyond it.
+
+Equal windows are one window, whatever items hold it, and windows of the same
+items share one list of them, so a passage that thousands of items or places
+repeat costs its places once, not their product.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, Work, buffer_of, lower, shards, ship, span_hashes, words_of
+from .common import ALNUM, U64, Work, buffer_of, lower, mix, shards, ship, span_hashes, tidy, words_of
 
 #: Bytes of benchmark text that go to the tasks at once.
 BLOCK_BYTES = 16 << 20
-SHARD = 4 << 20
+#: Pairs of a place and a window of an item that are looked at together.
+PAIRS = 1 << 20
 
 
 class TestItems:
@@ -42,15 +47,51 @@ class TestItems:
         self.per = max(1, 64 // self.bits)
         self.levels = -(-window // self.per)
         n = np.diff(first)
-        at, item, size = [], [], []
-        for i, m in enumerate(n):
-            for k in range(max(1, m - window + 1) if m else 0):
-                at.append(first[i] + k)
-                item.append(i)
-                size.append(min(m, window))
-        self.at, self.item, self.size = (np.array(x, np.int64) for x in (at, item, size))
-        self.item_start = self.at - first[:-1][self.item] if len(self.at) else self.at
+        self.word_start = first
         self.words = np.concatenate([number, np.zeros(self.levels * self.per, U64)])
+        count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+        item = np.repeat(np.arange(len(n)), count)
+        off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at, size = first[:-1][item] + off, np.minimum(n[item], window)
+        # equal windows become one: (level keys, size) name a window
+        self.at, self.size = at, size
+        names = [size, *(self.bounds(level)[0] for level in range(self.levels))]
+        order = np.lexsort(names)
+        new = np.ones(len(order), bool)
+        for x in names:
+            if len(x):
+                new[1:] &= x[order][1:] == x[order][:-1]
+        if len(new):
+            new[1:] = ~new[1:]
+        self.at, self.size = at[order[new]], size[order[new]]
+        # the places of each window: (item, offset) from place_from[w] to place_from[w + 1]
+        self.place_item, self.place_off = item[order], off[order]
+        self.place_from = np.append(np.flatnonzero(new), len(order))
+        # windows of the same items share one list of items
+        holder = np.repeat(np.arange(len(self.at)), np.diff(self.place_from))
+        pairs = np.unique(holder * max(1, len(n)) + self.place_item)
+        holder, held = pairs // max(1, len(n)), pairs % max(1, len(n))
+        cut = np.searchsorted(holder, np.arange(len(self.at) + 1))
+        sums = np.empty(0, U64)
+        if len(self.at):
+            with np.errstate(over="ignore"):
+                sums = mix(np.add.reduceat(mix(held.astype(U64) + U64(1)), cut[:-1]) + np.diff(cut).astype(U64))
+        _, head, self.list_of = np.unique(sums, return_index=True, return_inverse=True)
+        self.lists = [held[cut[w] : cut[w + 1]] for w in head]
+
+    def items_by_row(self, r: np.ndarray, which: np.ndarray) -> dict[int, list[str]]:
+        """For each row that holds a window, the ids of all items with one, sorted."""
+        out: dict[int, list[str]] = {}
+        if len(r):
+            pair = np.unique(r * len(self.lists) + self.list_of[which])
+            row, part = pair // len(self.lists), pair % len(self.lists)
+            cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            for a, b in zip(cut, np.append(cut[1:], len(pair))):
+                found: set[int] = set()
+                for k in part[a:b]:
+                    found.update(self.lists[k].tolist())
+                out[int(row[a])] = sorted({self.ids[k] for k in found})
+        return out
 
     def bounds(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Smallest and largest packed key of each window at this level; and whether the window reaches it."""
@@ -91,21 +132,38 @@ class SuffixArray:
         self.keys = [packed[at + level * per] for level in range(items.levels)]
 
     def ranges(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each window the range of suffixes that begin with it."""
+        """For each window the range of suffixes that begin with it, by binary search level by level."""
         low, high, _ = self.items.bounds(0)
         lo = np.searchsorted(self.keys[0], low, side="left")
         hi = np.searchsorted(self.keys[0], high, side="right")
         for level in range(1, self.items.levels):
             low, high, live = self.items.bounds(level)
-            for q in np.flatnonzero((hi > lo) & live):
-                part = self.keys[level][lo[q] : hi[q]]
-                a, b = np.searchsorted(part, low[q], side="left"), np.searchsorted(part, high[q], side="right")
-                lo[q], hi[q] = lo[q] + a, lo[q] + b
+            q = np.flatnonzero((hi > lo) & live)
+            a = _bisect(self.keys[level], lo[q], hi[q], low[q], False)
+            b = _bisect(self.keys[level], lo[q], hi[q], high[q], True)
+            lo[q], hi[q] = a, b
         return lo, np.maximum(lo, hi)
 
 
+def _bisect(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, after: bool) -> np.ndarray:
+    """Binary search of many values at once, each in its own range of ``keys``."""
+    lo, hi = lo.copy(), hi.copy()
+    while True:
+        open_ = np.flatnonzero(lo < hi)
+        if not len(open_):
+            return lo
+        mid = (lo[open_] + hi[open_]) // 2
+        right = keys[mid] <= want[open_] if after else keys[mid] < want[open_]
+        lo[open_] = np.where(right, mid + 1, lo[open_])
+        hi[open_] = np.where(right, hi[open_], mid)
+
+
 def occurrences(low: np.ndarray, offsets: np.ndarray, items: TestItems):
-    """(n_words by row, row, word position, window) of every place of every window in these rows."""
+    """(n_words by row, row, word position, window) of every place of every different window in these rows.
+
+    At one place begin one window of full length and those of shorter items at
+    most, so the result has fewer than ``window`` rows to a word.
+    """
     starts, ends, first = words_of(low, offsets, ALNUM)
     n = np.diff(first)
     none = np.empty(0, np.int64)
@@ -129,16 +187,38 @@ def occurrences(low: np.ndarray, offsets: np.ndarray, items: TestItems):
     return n, r, place - begin[r], which
 
 
-def longest(items: TestItems, r: np.ndarray, pos: np.ndarray, which: np.ndarray) -> list[np.ndarray]:
-    """Joins windows on a diagonal to maximal matches: row, item, start in document, start in item, words."""
-    item, off, size = items.item[which], items.item_start[which], items.size[which]
-    order = np.lexsort((pos, pos - off, item, r))
-    r, item, pos, off, size = (x[order] for x in (r, item, pos, off, size))
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - off[1:] != pos[:-1] - off[:-1]) | (pos[1:] > pos[:-1] + size[:-1])
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(r)) - 1
-    return [r[head], item[head], pos[head], off[head], pos[tail] + size[tail] - pos[head]] if len(r) else [np.empty(0, np.int64)] * 5
+def longest(low: np.ndarray, offsets: np.ndarray, items: TestItems):
+    """Maximal matches of these rows, joined on diagonals: row, item, start in document, start in item, words; in parts.
+
+    A match begins where the words before it differ; only those places are kept
+    and followed on, word by word, so memory is bounded by ``PAIRS`` and the output.
+    """
+    n, r, pos, which = occurrences(low, offsets, items)
+    starts, ends, first = words_of(low, offsets, ALNUM)
+    h = span_hashes(low, starts, ends)
+    k = np.minimum(np.searchsorted(items.vocabulary, h), max(0, len(items.vocabulary) - 1))
+    number = np.append(np.where(items.vocabulary[k] == h, k + 1, 0).astype(U64), U64(0)) if len(items.vocabulary) else np.zeros(len(h) + 1, U64)
+    size = np.diff(items.place_from)[which]
+    upto = np.cumsum(size)
+    a = 0
+    while a < len(which):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
+        m = size[a:b]
+        place = np.repeat(items.place_from[:-1][which[a:b]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        row, at, item, off = np.repeat(r[a:b], m), np.repeat(pos[a:b], m), items.place_item[place], items.place_off[place]
+        d, t = first[row] + at, items.word_start[item] + off
+        head = (at == 0) | (off == 0)
+        head[~head] = number[d[~head] - 1] != items.words[t[~head] - 1]
+        row, at, item, off, d, t = (x[head] for x in (row, at, item, off, d, t))
+        long = np.repeat(items.size[which[a:b]], m)[head]
+        room = np.minimum(n[row] - at, items.word_start[item + 1] - t)
+        live = np.flatnonzero(long < room)
+        while len(live):
+            live = live[number[d[live] + long[live]] == items.words[t[live] + long[live]]]
+            long[live] += 1
+            live = live[long[live] < room[live]]
+        yield row, item, at, off, long
+        a = b
 
 
 def _hits(n: np.ndarray, r: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -157,16 +237,12 @@ def _scan(sent, finish: bool):
             if not batch.num_rows:
                 continue
             data, offsets = buffer_of(batch.column("text"))
-            low = lower(data)
             before, known = batch.column("hits"), batch.column("items")
-            for i, j in shards(offsets, SHARD):
-                n, r, pos, which = occurrences(low[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], items)
+            for i, j in shards(offsets):
+                n, r, pos, which = occurrences(lower(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i], items)
                 hit = _hits(n, r, pos, items.size[which])
                 first = np.concatenate([[0], np.cumsum(n)])
-                pair = np.unique(r * (len(items.ids) + 1) + items.item[which])
-                mine: dict[int, set] = {}
-                for p in pair.tolist():
-                    mine.setdefault(p // (len(items.ids) + 1), set()).add(items.ids[p % (len(items.ids) + 1)])
+                mine = items.items_by_row(r, which)
                 touched = np.add.reduceat(np.append(hit, False), np.minimum(first[:-1], len(hit)), dtype=np.int64) * (n > 0) if len(n) else n
                 bits, names = [], []
                 for k in range(j - i):
@@ -177,7 +253,7 @@ def _scan(sent, finish: bool):
                         continue
                     mine_bits = np.packbits(hit[first[k] : first[k + 1]])
                     bits.append((mine_bits | np.frombuffer(old, np.uint8) if old else mine_bits).tobytes())
-                    names.append(sorted(mine.get(k, set()) | set(known[i + k].as_py() or [])))
+                    names.append(sorted({*mine.get(k, ()), *(known[i + k].as_py() or ())}))
                 out = {"n_words": pa.array(n, pa.int64()), "hits": pa.array(bits, pa.binary()), "items": pa.array(names, pa.list_(pa.string()))}
                 if finish:
                     del out["hits"], out["items"]
@@ -188,7 +264,7 @@ def _scan(sent, finish: bool):
                 keep = [c for c in batch.schema.names if c not in ("n_words", "hits", "items") and not (finish and c == "text")]
                 yield pa.record_batch([batch.column(c).slice(i, j - i) for c in keep] + list(out.values()), names=keep + list(out))
 
-    return run
+    return tidy(run)
 
 
 def _blocks(benchmark: DataFrame, window: int):
@@ -230,7 +306,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The longest verbatim matches: doc_id, item_id, doc_start, item_start, n_words (positions in words)."""
+    """The longest verbatim matches: doc_id, item_id, doc_start, item_start, n_words (positions in words).
+
+    Rows without words, items without words and an empty benchmark give none;
+    rows and items that repeat are matched as often; an item whose id is null is
+    named by an empty string.  Other columns of either table are ignored.
+    """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -244,14 +325,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
                 if not batch.num_rows:
                     continue
                 data, offsets = buffer_of(batch.column(1))
-                low = lower(data)
-                for i, j in shards(offsets, SHARD):
-                    _, r, pos, which = occurrences(low[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], items)
-                    row, item, a, b, n = longest(items, r, pos, which)
-                    names = pa.array([items.ids[k] for k in item], pa.string())
-                    yield pa.record_batch([batch.column(0).take(pa.array(row + i)), names, pa.array(a), pa.array(b), pa.array(n)], names=["doc_id", "item_id", "doc_start", "item_start", "n_words"])
-
-        part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, item_id string, doc_start long, item_start long, n_words long")
+                for i, j in shards(offsets):
+                    low = lower(data[offsets[i] : offsets[j]])
+                    for row, item, a, b, n in longest(low, offsets[i : j + 1] - offsets[i], items):
+                        names = pa.array([items.ids[k] for k in item], pa.string())
+                        yield pa.record_batch([batch.column(0).take(pa.array(row + i)), names, pa.array(a), pa.array(b), pa.array(n)], names=["doc_id", "item_id", "doc_start", "item_start", "n_words"])
+
+        part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, item_id string, doc_start long, item_start long, n_words long")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -261,18 +341,22 @@ def _clean(sent):
         items = sent.value
         for batch in batches:
             data, offsets = buffer_of(batch.column("text"))
-            low = lower(data)
-            for i, j in shards(offsets, SHARD):
-                n, r, _, _ = occurrences(low[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], items)
+            for i, j in shards(offsets):
+                n, r, _, _ = occurrences(lower(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i], items)
                 keep = np.ones(len(n), bool)
                 keep[r] = False
                 yield batch.slice(i, j - i).filter(pa.array(keep))
 
-    return run
+    return tidy(run)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` in its own columns without the rows that hold a window of a test item."""
+    """``docs`` in its own columns without the rows that hold a window of a test item.
+
+    Rows without words stay, and so do all rows with an empty benchmark; rows that
+    repeat are decided alike.  Each block of test items filters what the one before
+    left, in the same pass.
+    """
     ship(docs.sparkSession)
     for _, block in _blocks(benchmark, window):
         docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
