@@ -68,7 +68,7 @@ def test_near_dedup_edited_copies(spark):
         base = base[10:] + [f"c{k}_{j}" for j in range(10)]
         rows.append((2000 + k, " ".join(base)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, tile=7).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, tile=4000).collect()}
     assert got == brute_components(rows)
 
 
@@ -111,11 +111,42 @@ def test_bands_take_different_permutations():
 def test_tile_decides_on_full_sets_alone():
     """A pair at exactly 0.75 is linked whatever share of its signature values agrees."""
     sets = [np.arange(100, 107, dtype=np.uint64), np.arange(101, 108, dtype=np.uint64)]
-    pdf = pd.DataFrame({"key": [7, 7], "lo": [0, 0], "hi": [0, 0], "node": [1, 2], "root": [1, 2], "n_shingles": [7, 7], "part": [0, 0], "keys": [np.array([7]), np.array([7])], "members": [x.tobytes() for x in sets]})
-    pdf["sig"] = [np.arange(k, k + 128, dtype=np.uint32).tobytes() for k in (0, 500)]
+    key = np.array([7, 9], np.int64).tobytes()
+    pdf = pd.DataFrame({"key": [7] * 3, "lo": [0] * 3, "hi": [0] * 3, "node": [1, 2, 1], "root": [1, 2, 1], "n_shingles": [7] * 3, "side": [0, 1, 1], "outside": [True, False, True], "keys": [key] * 3, "members": [x.tobytes() for x in (*sets, sets[0])]})
     assert near_dedup._tile_links(75, 100)(pdf).to_numpy().tolist() == [[1, 2]]
 
 
+def test_tiles_meet_every_pair_of_components(spark):
+    """Every pair of members of different components is in exactly one tile as a pair to look at."""
+    rows = [(k, i, 0 if i < 40 else i // 2, 10 + i) for k in (1, 2) for i in range(40 + 10 * k)] + [(3, 1, 0, 5), (3, 2, 0, 5)]
+    df = spark.createDataFrame(rows, "key long, node long, root long, n_shingles long")
+    found = defaultdict(int)
+    for _, t in near_dedup.tiles(df, 4096).toPandas().groupby(["key", "lo", "hi"]):
+        for a in t[t.side == 0].itertuples():
+            for b in t[t.side == 1].itertuples():
+                if a.root != b.root and (not b.outside or b.node > a.node):
+                    found[a.key, min(a.node, b.node), max(a.node, b.node)] += 1
+    want = {(k, i, j) for k, i, r, _ in rows for k2, j, r2, _ in rows if k == k2 and i < j and r != r2}
+    assert set(found) == want and set(found.values()) == {1}
+
+
+def test_near_dedup_recall_at_the_threshold(spark):
+    """5,000 pairs of similarity 0.75 to 0.80, and as many just below it, all decided as brute force does."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(10000):
+        n = int(rng.integers(40, 90))
+        a = [f"p{k}x{j}" for j in range(n + 4)]
+        b = a[int(n * (0.125 if k % 2 else 0.16)) :]
+        both, union = len(b) - 4, n
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want[2 * k + 1] = 2 * k if 100 * both >= 75 * union else 2 * k + 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    linked = [i for i, c in want.items() if c != i]
+    assert len(linked) >= 5000 and all(got[i] == c for i, c in want.items())
+
+
 # ---------------------------------------------------------------- decontamination
 def brute_contamination(docs, bench):
     out = {}

@@ -12,8 +12,10 @@ Work is kept linear in the presence of very large groups:
   popular member only (the sum of its bucket sizes; in a group of edited copies
   that is the text they were edited from);
 * members of one bucket that those links already put into one component need no
-  further comparison; only pairs between different components remain.  A large
-  bucket of such members is split into tiles, which are compared in numpy on the
+  further comparison; only pairs between different components remain.  The
+  members outside the bucket's largest component are compared with all of its
+  members in tiles of bounded bytes: a member of the largest component is sent
+  once for each part of the others, which are few.  Tiles decide in numpy on the
   full sets and return one link between two components.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, VISIBLE, Work, buffer_of, lower, mix, shards, span_hashes, stream, words_of
+from .common import U64, VISIBLE, Work, buffer_of, lower, mix, release, shards, span_hashes, stream, tidy, words_of
 from .components import components
 
 _GRAM = stream(11, 64) | U64(1)
@@ -114,30 +116,41 @@ def _sketch(width: int, perms: int, rows: int, full: bool = False):
                 }
                 if full:
                     cols["members"] = pa.array([values[at[r] : at[r + 1]].tobytes() for r in range(len(n))], pa.binary())
+                    cols["keys"] = pa.array([key[r].tobytes() if live[r] else b"" for r in range(len(n))], pa.binary())
                 yield pa.record_batch(list(cols.values()), names=list(cols))
 
-    return run
+    return tidy(run)
 
 
 def sketch(docs: DataFrame, width: int, perms: int, rows: int, full: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, keys): set size, set digest and band keys; with ``full`` also members, the set."""
-    cols = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>" + (", members binary" if full else "")
+    """(doc_id, n_shingles, d1, d2, keys): set size, set digest and band keys; with ``full`` also members, the set, and both as bytes."""
+    cols = "doc_id long, n_shingles long, d1 long, d2 long, " + ("keys binary, members binary" if full else "keys array<long>")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch(width, perms, rows, full), cols)
 
 
+#: Bytes of sets that a task remembers while it confirms pairs.
+KEPT_BYTES = 16 << 20
+
+
 def _confirm(width: int, num: int, den: int):
     """Keeps the pairs whose exact similarity reaches num / den."""
 
     def run(batches):
         kept: dict[str, np.ndarray] = {}
+        held = 0
 
         def of(text) -> np.ndarray:
+            nonlocal held
             text = text or ""
             if text not in kept:
-                if len(kept) >= 64:
-                    kept.pop(next(iter(kept)))
                 raw = np.frombuffer(text.encode(), np.uint8)
-                kept[text] = shingle_sets(raw, np.array([0, len(raw)], np.int64), width)[0]
+                got = shingle_sets(raw, np.array([0, len(raw)], np.int64), width)[0]
+                cost = got.nbytes + 2 * len(raw) + 500
+                while kept and (held + cost > KEPT_BYTES or len(kept) >= 64):
+                    first = next(iter(kept))
+                    held -= kept.pop(first).nbytes + 2 * len(first) + 500
+                kept[text] = got
+                held += cost
             return kept[text]
 
         for batch in batches:
@@ -151,7 +164,7 @@ def _confirm(width: int, num: int, den: int):
             keep = pa.array(keep)
             yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
@@ -162,54 +175,89 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[int
 
 
 def _tile_links(num: int, den: int):
-    """Links between different components in one tile (the members of a bucket, or two slices of them).
+    """Links between different components in one tile: a part of a bucket's outsiders (side 0) against a part of all its members (side 1).
 
-    A pair is looked at in the first band that its members share.  Pairs of too
-    different lengths cannot be similar enough, the rest is decided on the full
-    sets; of the links between two components one is returned.
+    A pair is looked at in the first band that its members share, and two outsiders
+    from the one of the smaller id.  Pairs of too different lengths cannot be
+    similar enough, the rest is decided on the full sets; of the links between two
+    components one is returned.
     """
 
     def run(pdf):
         import pandas as pd
 
-        keys = np.stack(pdf["keys"].to_numpy())
         key = pdf["key"].iloc[0]
+        keys = np.frombuffer(b"".join(pdf["keys"]), np.int64).reshape(len(pdf), -1)
         here = (keys == key).any(axis=1)  # not so for another text of a repeated id
         pdf, keys = pdf[here], keys[here]
         band = int((keys[0] == key).argmax()) if len(pdf) else 0
-        ids, comp, n, part = (pdf[c].to_numpy() for c in ("node", "root", "n_shingles", "part"))
-        comp = comp.copy()
+        ids, n, side, out = (pdf[c].to_numpy() for c in ("node", "n_shingles", "side", "outside"))
+        _, comp = np.unique(pdf["root"].to_numpy(), return_inverse=True)
         sets = [np.frombuffer(x, U64) for x in pdf["members"]]
-        lo, hi = (pdf[c].iloc[0] if len(pdf) else 0 for c in ("lo", "hi"))
-        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         got = []
         for i in left:
-            js = right[(comp[right] != comp[i]) & ((lo != hi) | (right > i))]
+            js = right[(comp[right] != comp[i]) & (~out[right] | (ids[right] > ids[i]))]
             js = js[den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i])]
             js = js[(keys[js] == keys[i]).argmax(axis=1) == band] if len(js) else js
-            if not len(js):
-                continue
-            values = np.concatenate([sets[j] for j in js])
-            at = np.searchsorted(sets[i], values)
-            same = sets[i][np.minimum(at, len(sets[i]) - 1)] == values
-            both = np.add.reduceat(same, np.concatenate([[0], np.cumsum(n[js])[:-1]]), dtype=np.int64)
-            for j in js[den * both >= num * (n[js] + n[i] - both)]:
-                if comp[j] != comp[i]:
-                    got.append((ids[i], ids[j]))
-                    comp[comp == comp[j]] = comp[i]
+            for s in _portions(n[js], _PORTION):
+                some = js[s][comp[js[s]] != comp[i]]
+                if not len(some):
+                    continue
+                values = np.concatenate([sets[j] for j in some])
+                at = np.searchsorted(sets[i], values)
+                same = sets[i][np.minimum(at, len(sets[i]) - 1)] == values
+                both = np.add.reduceat(same, np.concatenate([[0], np.cumsum(n[some])[:-1]]), dtype=np.int64)
+                for j in some[den * both >= num * (n[some] + n[i] - both)]:
+                    if comp[j] != comp[i]:
+                        got.append((ids[i], ids[j]))
+                        comp[comp == comp[j]] = comp[i]
         got = np.array(got, np.int64).reshape(-1, 2)
+        release()
         return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
     return run
 
 
+#: Shingles that are compared with one set at once.
+_PORTION = 1 << 17
+
+
+def _portions(n: np.ndarray, limit: int):
+    """Slices of ``n`` whose sums are about ``limit``."""
+    upto, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, side="right")))
+        yield slice(a, b)
+        a = b
+
+
+def tiles(placed: DataFrame, tile: int) -> DataFrame:
+    """Members of buckets with more than one component, dealt to tiles: key, node, root, side, outside, lo, hi.
+
+    ``placed`` is (key, node, root, n_shingles).  The outsiders of a bucket (all
+    but its largest component) are side 0, all members are side 1; each is cut into
+    parts of about ``tile`` bytes of sets, and a tile is one part of each.
+    """
+    weight = F.greatest(F.col("n_shingles") * 8, F.lit(512))  # the loop costs something for a short set too
+    by_root = placed.groupBy("key", "root").agg(F.sum(weight).alias("w"))
+    heads = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("w").alias("all"), F.max(F.struct("w", "root")).alias("top")).where("roots > 1")
+    heads = heads.select("key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.w")) / tile).cast("int").alias("outs"), F.ceil(F.col("all") / tile).cast("int").alias("alls"))
+    m = placed.select("key", "node", "root").join(heads, "key").withColumn("outside", F.col("root") != F.col("top"))
+    part = lambda n, k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = m.where("outside").select("key", "node", "root", F.lit(0).alias("side"), "outside", part("outs", 0).alias("lo"), each("alls").alias("hi"))
+    b = m.select("key", "node", "root", F.lit(1).alias("side"), "outside", each("outs").alias("lo"), part("alls", 1).alias("hi"))
+    return a.unionByName(b)
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     threshold: tuple[int, int] = (75, 100),
     perms: int = 64,
     rows: int = 4,
-    tile: int = 1500,
+    tile: int = 1 << 20,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -251,16 +299,10 @@ def near_duplicates(
     comp = components(links, work)
     placed = members.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = work.table(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
-    mixed = mixed.select("key", F.ceil(F.col("m") / tile).cast("int").alias("parts"))
-    spread = placed.select("key", "node", "root", "n_shingles").join(mixed, "key")
-    spread = spread.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiles = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "key", "node", "root", "n_shingles", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")
-    )
-    open_ = placed.join(mixed.select("key"), "key", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    dealt = work.table(tiles(placed, tile), "tiles")
+    open_ = dealt.select(F.col("node").alias("doc_id")).distinct()
     sets_of = sketch(texts.join(open_, "doc_id", "left_semi"), width, perms, rows, full=True)
-    signed = tiles.drop("n_shingles").join(sets_of.select(F.col("doc_id").alias("node"), "n_shingles", "keys", "members"), "node")
+    signed = dealt.join(sets_of.select(F.col("doc_id").alias("node"), "n_shingles", "keys", "members"), "node")
     late = signed.groupBy("key", "lo", "hi").applyInPandas(_tile_links(num, den), "a long, b long")
     linked = work.table(links.unionByName(late), "all-links")
     comp = components(linked, work)
@@ -290,6 +332,10 @@ def miss_probability(similarity: float, perms: int = 64, rows: int = 4, union: i
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but one document of each near-duplicate group, in its own columns."""
+    """``docs`` without all but one document of each near-duplicate group, in its own columns.
+
+    The document of the smallest doc_id stays, in all its rows; documents without
+    shingles and rows without doc_id stay.
+    """
     gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
