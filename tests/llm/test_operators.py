@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -445,6 +446,43 @@ def test_quality(spark, odd, nothing):
     assert {r.score for r in quality.score(odd, blank).collect()} == {0.5}
 
 
+def brute_difference(text, good, bad):
+    """Sizes by the plain interface, block by block."""
+    if not text:
+        return 0.0
+    sizes = []
+    for raw in (good, bad):
+        d = zstandard.ZstdCompressionDict(raw)
+        sizes.append(sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(text[s : s + quality.BLOCK])) for s in range(0, len(text), quality.BLOCK)))
+    return (sizes[1] - sizes[0]) / len(text)
+
+
+def test_quality_scores_equal_plain_compression(spark):
+    """Whole texts, compressed one by one, give the registered scores; the curve's x are those of whole texts."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, quality.training_labels(spark.read.parquet(f"{sf}/labels.parquet")))
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        x = brute_difference((r.text or "").encode(), model.good, model.bad)
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(model.weight * x + model.bias, -30, 30)))) < 1e-9
+
+
+def test_quality_learns_from_all_of_a_text():
+    text = bytes(range(256)) * 400
+    parts = quality.slices(text)
+    assert sum(map(len, parts)) == quality.SAMPLE_BYTES and parts[0] == text[:1024] and parts[-1] == text[-1024:]
+    assert quality.slices(b"short") == [b"short"] and quality.dictionary([b"", b"ab"]) == b"ab"
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)] + [(7, "both"), (8, None), (9, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (7, 0), (7, 1), (8, 1), (9, 0), (None, 1), (0, 1), (5, 2)], "doc_id long, quality int")
+    rows = quality.chosen_rows(docs.unionByName(docs), labels, 10, 3).collect()
+    assert len(rows) == 20 and sum(r.quality for r in rows) == 10
+    assert {r.text for r in quality.chosen_rows(docs, labels, 100, 3).collect()} == {f"text {i}" for i in range(60)}
+
+
 # ---------------------------------------------------------------- chat
 def test_chat_snapshots(spark):
     base = [("user", "hi"), ("assistant", "hello"), ("user", "more"), (None, None)]
