@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import ship as ship
+from ..sources.work import ship as _send
 
 U64 = np.uint64
 #: Rows up to which a table may be broadcast after its rows were counted.
@@ -27,6 +27,22 @@ BROADCAST_ROWS = 200_000
 SHARD_BYTES = 1 << 20
 
 
+#: Bytes of rows that Spark hands to a Python task at once, unless the session asks for less.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets the executors import this package, and bounds the bytes of a batch on both sides of a Python task.
+
+    Spark's own bound counts 64 MB a batch; a task holds it several times over.
+    """
+    _send(spark)
+    said = str(spark.conf.get(_BATCH)).rstrip("bB")
+    if not said.isdigit() or not 0 < int(said) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 # ---------------------------------------------------------------- work folder
 def work_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.

@@ -29,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, ship, small
+from .common import U64, Work, buffer_of, mix, shards, ship, small, span_hashes, tidy
 
 #: Ids after which a block ends (whole documents, so a block may be longer).
 BLOCK_IDS = 1 << 16
-#: Rows to a shard, about; and the most shards, whose start offsets are sent to all tasks.
-SHARD_ROWS = 20_000
-MAX_SHARDS = 20_000
-#: Pieces of text whose ids a task remembers.
-CACHE = 700_000
+#: Bytes of text to a shard, about, and sampled rows by which the shards of equal bytes are cut.
+SHARD_TEXT = 16 << 20
+SAMPLE_ROWS = 64
+#: Bytes of pieces of text and their ids that a Python worker remembers, each counted with ``OVERHEAD``; longer pieces than ``LONG`` are not kept.
+CACHE_BYTES = 96 << 20
+OVERHEAD = 160
+LONG = 64
 
 
 def default_tokenizer() -> str:
@@ -121,15 +123,17 @@ class Encoder:
         self.kind = "<u2" if bits_for(self.size) <= 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, new: set[str]) -> None:
-        """Encodes pieces that were not seen before; simple ones as one text, told apart by their pre-token numbers."""
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that were not seen before; simple ones as one text, told apart by their pre-token numbers."""
+        out: dict[str, bytes] = {}
         simple, rest = [], []
         for p in new:
-            (simple if _SIMPLE.fullmatch(p) else rest).append(p)
+            (simple if len(p) <= LONG and _SIMPLE.fullmatch(p) else rest).append(p)
         for s in range(0, len(simple), 5000):
             part = simple[s : s + 5000]
             e = self.tok.encode("".join(part), add_special_tokens=False)
@@ -139,42 +143,120 @@ class Encoder:
                 continue
             cut = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
             raw, w = ids.tobytes(), ids.itemsize
-            self.known.update((p, raw[cut[k] * w : cut[k + 1] * w]) for k, p in enumerate(part))
-        self.known.update(zip(rest, self.whole(rest)))
+            out.update((p, raw[cut[k] * w : cut[k + 1] * w]) for k, p in enumerate(part))
+        out.update(zip(rest, self.whole(rest)))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of two bytes, or four for a large vocabulary."""
         if not self.piecewise:
             return self.whole(texts)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        odd = [bool(_ODD.search(t) or _FAR.search(t)) or any(x in t for x in self.special) for t in texts]
-        pieces = [[] if o else _PIECE.findall(t) for t, o in zip(texts, odd)]
         known = self.known
-        new: set[str] = set()
-        for p in pieces:
-            new.update(p)
-        self.learn(new.difference(known))
-        return [self.whole([t])[0] if o else b"".join(map(known.__getitem__, p)) for t, o, p in zip(texts, odd, pieces)]
+        out: list[bytes | None] = []
+        left: dict[int, list[str]] = {}
+        for n, t in enumerate(texts):
+            if _ODD.search(t) or _FAR.search(t) or any(x in t for x in self.special):
+                out.append(self.whole([t])[0])
+                continue
+            pieces = _PIECE.findall(t)
+            try:
+                out.append(b"".join(map(known.__getitem__, pieces)))
+            except KeyError:
+                out.append(None)
+                left[n] = pieces
+        if left:
+            new = {p for pieces in left.values() for p in pieces if p not in known}
+            got = self.learn(sorted(new))
+            keep = {p: x for p, x in got.items() if len(p) <= LONG}
+            cost = sum(map(len, keep)) + sum(map(len, keep.values())) + OVERHEAD * len(keep)
+            here = {p: known[p] for pieces in left.values() for p in pieces if p in known} | got if self.held + cost > CACHE_BYTES or len(keep) < len(got) else None
+            if self.held + cost > CACHE_BYTES:
+                known.clear()
+                self.held = 0
+            if cost <= CACHE_BYTES:
+                known.update(keep)
+                self.held += cost
+            look = (known if here is None else here).__getitem__
+            for n, pieces in left.items():
+                out[n] = b"".join(map(look, pieces))
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker for a vocabulary file; what it remembers serves later tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+_LEAST = np.iinfo(np.int64).min
+
+
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    """A signed 64-bit hash of each whole text (null: empty), by which rows that repeat a doc_id are ordered."""
+    data, offsets = buffer_of(texts)
+    out = []
+    for i, j in shards(offsets):
+        a, b = offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]
+        out.append(mix(span_hashes(data[offsets[i] : offsets[j]], a, b) + (b - a).astype(U64)))
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+
+
+class Cuts:
+    """Where shards begin, in order of (doc_id, text hash)."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray):
+        self.ids, self.hashes = ids, hashes
+
+    def shard(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Number of cuts at or before each row."""
+        lo, hi = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+        for k in np.flatnonzero(hi > lo):  # a cut inside the rows of one doc_id
+            lo[k] += np.searchsorted(self.hashes[lo[k] : hi[k]], hashes[k], side="right")
+        return lo
+
+
+def _keys(batches):
+    for batch in batches:
+        ids = batch.column(0).fill_null(int(_LEAST))
+        data, offsets = buffer_of(batch.column(1))
+        yield pa.record_batch([ids, pa.array(text_hashes(batch.column(1))), pa.array(np.diff(offsets))], names=["i", "h", "bytes"])
 
 
-def _encode(path: str, bounds: np.ndarray, end_id: int):
-    made: list[Encoder] = []
+def cuts(docs: DataFrame, wanted: int, rows: int) -> Cuts:
+    """Cuts of ``docs`` into about ``wanted`` shards of equal bytes, by a sample of rows chosen by a hash of the row.
 
+    The driver sees ``SAMPLE_ROWS`` rows to a shard, about; a shard exceeds its share by long texts only.
+    """
+    if wanted <= 1:
+        return Cuts(np.empty(0, np.int64), np.empty(0, np.int64))
+    share = max(1, rows // (wanted * SAMPLE_ROWS))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(share)) == 0) if share > 1 else docs
+    got = np.array(some.mapInArrow(tidy(_keys), "i long, h long, bytes long").collect(), np.int64).reshape(-1, 3)
+    got = got[np.lexsort((got[:, 2], got[:, 1], got[:, 0]))]
+    upto = np.cumsum(got[:, 2] + 16)
+    at = np.unique(np.searchsorted(upto, np.arange(1, wanted) * (upto[-1] / wanted))) if len(got) else np.empty(0, np.int64)
+    at = at[at < len(got)]
+    return Cuts(got[at, 0], got[at, 1])
+
+
+def _encode(path: str, sent, end_id: int):
     def run(batches):
-        if not made:
-            made.append(Encoder(path))
-        enc = made[0]
+        enc = encoder(path)
         tail = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
+            ids = batch.column("doc_id")
+            order = text_hashes(batch.column("text"))
+            shard = sent.value.shard(ids.fill_null(int(_LEAST)).to_numpy(zero_copy_only=False), order)
             for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                ids = part.column("doc_id")
-                data = [b + tail for b in enc.encode([t or "" for t in part.column("text").to_pylist()])]
-                shard = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-                yield pa.record_batch([ids, pa.array(shard, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "shard", "ids"])
+                data = [b + tail for b in enc.encode([t or "" for t in batch.column("text").slice(s, 512).to_pylist()])]
+                yield pa.record_batch([ids.slice(s, 512), pa.array(shard[s : s + 512], pa.int64()), pa.array(order[s : s + 512]), pa.array(data, pa.binary())], names=["doc_id", "shard", "h", "ids"])
 
-    return run
+    return tidy(run)
 
 
 def _blocks(bits: int, limit: int):
@@ -209,21 +291,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """Encodes every row of ``docs`` (doc_id, text) and writes the format above to ``path``.
 
     A null text is empty; ``end_id`` follows every document.  Shards are ranges of
-    doc_id, so only the ids (two bytes each for this vocabulary) are moved, once.
-    A null doc_id comes first; rows that repeat a doc_id keep a fixed order.
+    doc_id of about equal bytes, so only the ids (two bytes each for this vocabulary)
+    are moved, once.  A null doc_id comes first; rows that repeat a doc_id are in
+    order of a hash of their texts.
     """
     spark = docs.sparkSession
     ship(spark)
     tokenizer = tokenizer or default_tokenizer()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = docs.select("doc_id").count()
-    wanted = min(MAX_SHARDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_ROWS)))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 10 * wanted).alias("c")).first()["c"] if wanted > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // SHARD_TEXT))
+    where = cuts(docs, min(wanted, n), n)
     bits = bits_for(Encoder(tokenizer).size)
-    coded = docs.mapInArrow(_encode(tokenizer, bounds, end_id), "doc_id long, shard long, ids binary")
-    placed = coded.repartition(max(1, min(wanted, len(bounds) + 1)), "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    packed = placed.mapInArrow(_blocks(bits, block_ids), "shard long, block long, start long, doc_ids array<long>, lengths array<long>, bits int, payload binary")
+    coded = docs.mapInArrow(_encode(tokenizer, spark.sparkContext.broadcast(where), end_id), "doc_id long, shard long, h long, ids binary")
+    placed = coded.repartition(max(1, len(where.ids) + 1), "shard").sortWithinPartitions("shard", "doc_id", "h", "ids")
+    packed = placed.mapInArrow(tidy(_blocks(bits, block_ids)), "shard long, block long, start long, doc_ids array<long>, lengths array<long>, bits int, payload binary")
     packed.write.mode("overwrite").option("compression", "none").parquet(path)
 
 
@@ -243,39 +325,45 @@ def _read(batches):
             )
 
 
+def _shard_starts(files: DataFrame) -> list[tuple[int, int, int]]:
+    """(shard, ids before it, its ids) of all shards: a row for each ``SHARD_TEXT`` bytes of text."""
+    n = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    base, out = 0, []
+    for r in sorted(files.groupBy("shard").agg(F.sum(n).alias("n")).collect()):
+        out.append((r["shard"], base, r["n"]))
+        base += r["n"]
+    return out
+
+
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """What the files hold, by document: doc_id, start, n_tokens, ids_crc32."""
     ship(spark)
     files = spark.read.parquet(path)
-    sizes = files.select("shard", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
-    base, rows = 0, []
-    for r in sorted(sizes.collect()):  # at most MAX_SHARDS + 1 rows
-        rows.append((r["shard"], base))
-        base += r["n"]
+    rows = [r[:2] for r in _shard_starts(files)]
     starts = spark.createDataFrame(rows, "shard long, base long")
-    docs = files.mapInArrow(_read, "doc_id long, shard long, at long, n_tokens long, ids_crc32 long")
+    docs = files.mapInArrow(tidy(_read), "doc_id long, shard long, at long, n_tokens long, ids_crc32 long")
     return docs.join(small(starts, len(rows)), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str, first: int, count: int) -> np.ndarray:
-    """Random access: ``count`` ids from global position ``first``; only blocks that hold them are read."""
+    """Random access: ``count`` ids from global position ``first``; one job reads only the blocks that hold them."""
     files = spark.read.parquet(path)
-    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    heads = sorted(files.select("shard", "block", size.alias("n")).collect())
-    at, want = 0, {}
-    for r in heads:
-        if at < first + count and at + r["n"] > first:
-            want[r["shard"], r["block"]] = (max(0, first - at), min(r["n"], first + count - at))
-        at += r["n"]
-    out = []
-    for (s, b), (lo, hi) in want.items():
-        r = files.where((F.col("shard") == s) & (F.col("block") == b)).select("bits", "payload").first()
-        out.append(unpack(bytes(r["payload"]), r["bits"], lo, hi - lo))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+    near = {s: base for s, base, n in _shard_starts(files) if base < first + count and base + n > first}
+    n = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    got = files.where(F.col("shard").isin(list(near))).select("shard", "start", n.alias("n"), "bits", "payload") if near else None
+    if got is None or not count:
+        return np.empty(0, np.uint32)
+    bases = spark.createDataFrame(list(near.items()), "shard long, base long")
+    got = got.join(small(bases, len(near)), "shard").withColumn("at", F.col("base") + F.col("start"))
+    rows = got.where((F.col("at") < first + count) & (F.col("at") + F.col("n") > first)).select("at", "n", "bits", "payload").collect()
+    return np.concatenate([unpack(bytes(r["payload"]), r["bits"], lo := max(0, first - r["at"]), min(r["n"], first + count - r["at"]) - lo) for r in sorted(rows, key=lambda r: r["at"])])
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Writes ``docs`` to the shared folder and returns the index read back from the files."""
+    """Writes ``docs`` to the shared folder and returns the index read back from the files.
+
+    One row per row of ``docs``; nulls, empty texts and repeats as in ``write_tokens``.
+    """
     work = Work(docs.sparkSession, "tokens")
     write_tokens(docs, f"{work.path}/ids", tokenizer)
     return token_index(docs.sparkSession, f"{work.path}/ids")
