@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffer_of, lower, mix, shards, ship
+from .common import U64, buffer_of, lower, mix, shards, ship, tidy
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -156,11 +156,10 @@ def _predict(sent):
         for batch in batches:
             text = batch.column("text")
             data, offsets = buffer_of(text)
-            data = lower(data)
             best = np.full(batch.num_rows, len(net.classes))
             score = np.zeros(batch.num_rows)
             for i, j in shards(offsets):
-                part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                part, off = lower(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
                 total, weight = np.zeros((j - i, len(net.classes))), np.zeros(j - i)
                 for x, row in windows_of(part, off, net.window) if net.classes else ():
                     p = net.probabilities(x, looked)
@@ -175,7 +174,7 @@ def _predict(sent):
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch([batch.column(c) for c in keep] + [names.take(pa.array(best)), pa.array(np.clip(score, 0, 1))], names=[*keep, "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def _take_windows(window: int, each: int):
@@ -196,16 +195,19 @@ def _take_windows(window: int, each: int):
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, seed: int = 1) -> ByteCnn:
-    """Trains on at most ``sample_docs`` rows of ``labelled`` (doc_id, text, lang), chosen by a hash of doc_id."""
+    """Trains on at most ``sample_docs`` different rows of ``labelled`` (doc_id, text, lang), the first by a hash of doc_id and text.
+
+    Null langs and null or empty texts teach nothing; repeats of a chosen row count
+    once, so reruns learn the same.
+    """
     ship(labelled.sparkSession)
-    rows = labelled.where("lang is not null and text is not null and length(text) > 0")
-    some = rows.select("text", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
-    ids = rows.select(F.xxhash64("doc_id", F.lit(seed)).alias("h")).orderBy("h").limit(sample_docs)
-    top = ids.agg(F.max("h").alias("h")).first()["h"]
-    got = []
-    if top is not None:
-        pieces = some.where(F.col("h") <= top).select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(_take_windows(WINDOW, sample_windows), "lang string, piece binary")
-        got = sorted((r["lang"], bytes(r["piece"])) for r in pieces.limit(4 * sample_docs * sample_windows).collect())
+    rows = labelled.where("lang is not null and text is not null and length(text) > 0").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"))
+    top = rows.select("h", "lang").orderBy("h", "lang").limit(sample_docs).distinct()
+    # at most sample_docs rows
+    some = rows.join(F.broadcast(top), ["h", "lang"]).dropDuplicates(["h", "lang"])
+    pieces = some.select("lang", "text").mapInArrow(_take_windows(WINDOW, sample_windows), "lang string, piece binary")
+    got = sorted((r["lang"], bytes(r["piece"])) for r in pieces.collect())
     classes = sorted({r[0] for r in got})
     net = ByteCnn(classes)
     net.start(seed)
@@ -244,10 +246,13 @@ def _accept(sent, least: float):
             ok = [p != "und" and s >= least for p, s in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist())]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def accept(docs: DataFrame, net: ByteCnn, least: float = 0.35) -> DataFrame:
-    """``docs`` in its own columns without the rows whose language cannot be told (``und``, or a score under ``least``)."""
+    """``docs`` in its own columns without the rows whose language cannot be told (``und``, or a score under ``least``).
+
+    Null texts and texts without letters go; rows that repeat are decided alike.
+    """
     ship(docs.sparkSession)
     return docs.mapInArrow(_accept(docs.sparkSession.sparkContext.broadcast(net), least), docs.schema)
