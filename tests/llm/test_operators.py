@@ -270,6 +270,52 @@ def test_mix_odd_rows(odd, nothing):
     assert len(got) == odd.count() and {r.size for r in got if r.doc_id in (3, 4, 5)} == {0}
     assert mixing.mix_sources(nothing).count() == 0
     assert mixing.mixed(odd).columns == odd.columns
+    assert mixing.mixed(nothing).count() == 0
+
+
+def brute_pivot(p, size, luck):
+    """The rounding of one block with plain lists, fraction by fraction."""
+    p, hand = list(p), None
+    for k in range(len(p)):
+        if min(p[k], 1 - p[k]) <= mixing.EPS:
+            p[k] = float(round(p[k]))
+            continue
+        if hand is None:
+            hand = k
+            continue
+        up, down = min((1 - p[hand]) * size[hand], p[k] * size[k]), min(p[hand] * size[hand], (1 - p[k]) * size[k])
+        give = up if luck[k] * (up + down) < down else -down
+        p[hand], p[k] = p[hand] + give / size[hand], p[k] - give / size[k]
+        whole = [i for i in (hand, k) if min(p[i], 1 - p[i]) <= mixing.EPS]
+        for i in whole:
+            p[i] = float(round(p[i]))
+        hand = next((i for i in (hand, k) if i not in whole), None)
+    return p
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.integers(1, 50), st.floats(0, 0.999)), max_size=30))
+def test_pivot_matches_brute_force(rows):
+    p, size, luck = (np.array([r[k] for r in rows], float) for k in range(3))
+    got, _ = mixing.pivot(p, size, luck)
+    assert np.allclose(got, brute_pivot(p, size, luck))
+
+
+def test_mix_takes_rows_not_ids(spark):
+    """Repeated ids, null ids and equal rows: the words of ``mixed`` are those of the plan."""
+    rows = [(1, "w " * 10, "a", 1)] * 30 + [(1, "v " * k, "a", 2) for k in range(1, 40)] + [(None, "u " * k, "b", 3) for k in range(1, 40)] + [(None, "t t t", "b", 4)] * 25 + [(2, None, "c", 5), (3, "", None, 6), (4, "x y", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    plan = mixing.mix_sources(docs).toPandas()
+    assert len(plan) == len(rows) and (plan.taken <= 2 * plan["size"]).all()
+    out = mixing.mixed(docs).toPandas()
+    for source, g in plan.groupby("source", dropna=False):
+        mine = out[out.source.isna() if pd.isna(source) else out.source == source]
+        words = sum(len(t.split()) for t in mine.text)
+        assert words == g.taken.sum() and abs(words - g.target.iloc[0]) <= g["size"].max()
+    equal = plan[(plan["size"] == 10) & (plan.source == "a") & (plan.doc_id == 1)].copies
+    assert equal.max() - equal.min() <= 1
+    shuffled = mixing.mixed(docs.repartition(7)).toPandas()
+    assert sorted(map(str, out.values.tolist())) == sorted(map(str, shuffled.values.tolist()))
 
 
 # ---------------------------------------------------------------- tokens
