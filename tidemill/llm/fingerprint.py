@@ -10,10 +10,13 @@ similarity of their weighted sets, the sum of minima over the sum of maxima.
 Texts are explained to Spark as one shuffle: rows go to buckets of neighbouring
 ids, each with a copy of the row that follows its last one, so "the next
 document", the words, their counts and the samples are all found in one place.
+Buckets are cut at quantiles of a sample, weighted by bytes, in order of (doc_id,
+hash of the text), so neither crowded nor equal ids share one bucket.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -27,11 +30,12 @@ SAMPLES = 64
 GROUP = 2
 #: Cells of the quantile table of the gamma distribution.
 CELLS = 256
-#: Rows to a bucket at least, buckets at most, and bytes of text to a partition.
-BUCKET_ROWS = 64
-MAX_BUCKETS = 100_000
+#: Bytes of text to a bucket and to a partition; and the cut points that the driver holds: with more text (128 GB) buckets grow.
+BUCKET_BYTES = 1 << 20
 PARTITION_BYTES = 4 << 20
-MAX_PARTITIONS = 100_000
+CUTS = 1 << 17
+#: Sampled rows to a bucket.
+SAMPLE_ROWS = 8
 BLANKS = "[ \\t-\\r]+"
 
 
@@ -105,29 +109,62 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(a: Column) -> Column:
-    """Four hexadecimal digits of each sample; empty for an empty text."""
-    return F.coalesce(F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFF))), 4, "0"))), ""), F.lit(""))
+    """Eight hexadecimal digits of each sample, all that ``likeness`` compares; empty for an empty text."""
+    return F.coalesce(F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""), F.lit(""))
+
+
+def _place() -> Column:
+    """A row's place in the order: null ids first, rows of one id by a hash of their texts."""
+    return F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"), F.xxhash64("text").alias("h"))
+
+
+_PLACE = "struct<k:boolean,i:bigint,h:bigint>"
+
+
+def cut_points(docs: DataFrame, wanted: int, rows: int) -> list[tuple]:
+    """Places that cut ``docs`` into about ``wanted`` buckets of equal bytes, from a sample by a hash of the row."""
+    share = max(1, rows // (wanted * SAMPLE_ROWS))
+    some = docs if share == 1 else docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(share)) == 0)
+    got = sorted((r["p"]["k"], r["p"]["i"], r["p"]["h"], r["n"]) for r in some.select(_place().alias("p"), (F.octet_length("text") + 16).alias("n")).collect())
+    total, upto, out = sum(r[3] for r in got), 0, []
+    for r in got:
+        if upto * wanted >= total * (len(out) + 1) and (not out or out[-1] != r[:3]):
+            out.append(r[:3])
+        upto += r[3]
+    return out
+
+
+def add_bucket(docs: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """``docs`` with bucket, the number of cuts at or before a row's place; looked up in two steps of about sqrt(cuts) each."""
+    spark = docs.sparkSession
+    step = max(1, math.isqrt(len(cuts)))
+    below = lambda cuts_, p: F.size(F.filter(cuts_, lambda c: c <= p)).cast("long")
+    cells = [(k // step, cuts[k + 1 : k + step]) for k in range(0, len(cuts), step)]
+    tops = F.from_json(F.lit(json.dumps([dict(zip("kih", cuts[k])) for k in range(0, len(cuts), step)])), f"array<{_PLACE}>")
+    cells = spark.createDataFrame([(-1, [])] + cells, f"cell long, inner array<{_PLACE}>")
+    # a row below the first cut is in cell -1; the inner cuts of a cell follow its top one
+    placed = docs.withColumn("place", _place()).withColumn("cell", below(tops, F.col("place")) - 1)
+    placed = placed.join(small(cells, len(cuts) // step + 2), "cell")
+    return placed.withColumn("bucket", F.when(F.col("cell") < 0, 0).otherwise(F.col("cell") * step + 1 + below(F.col("inner"), F.col("place")))).drop("cell", "inner")
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` (doc_id, text) dealt to buckets of neighbouring ids, and a number of partitions for them.
+    """``docs`` (doc_id, text) dealt to buckets of neighbouring rows, and a number of partitions for them.
 
-    Columns: bucket, copy (the first row of the next bucket, added at the end), doc_id, text.
+    Columns: bucket, copy (the first row of the next bucket, added at the end), place, doc_id, text.
     """
-    x = F.col("doc_id").cast("double")
-    n, lo, hi, size = docs.agg(F.count("*"), F.min(x), F.max(x), F.sum(F.octet_length("text"))).first()
-    per = max(BUCKET_ROWS, -(-(n or 0) // MAX_BUCKETS))
-    width = max(1.0, ((hi or 0.0) - (lo or 0.0) + 1) / max(1, -(-(n or 1) // per)))
-    # null ids come first
-    bucket = F.coalesce(F.floor((x - (lo or 0.0)) / width), F.lit(-1)).cast("long")
-    placed = docs.withColumn("bucket", bucket)
-    heads = sorted(((r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect()), key=lambda r: r[0])  # MAX_BUCKETS + 2 rows at most
+    spark = docs.sparkSession
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    size = size or 0
+    wanted = min(max(1, size // BUCKET_BYTES, min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), CUTS)
+    placed = add_bucket(docs, cut_points(docs, wanted, n))
+    heads = sorted((r["bucket"], tuple(r["first"])) for r in placed.groupBy("bucket").agg(F.min("place").alias("first")).collect())  # one for each bucket
     # the head of each bucket also ends the one before; the first one ends the last
     ends = [(heads[k][1], heads[k - 1][0]) for k in range(len(heads))]
-    ends = docs.sparkSession.createDataFrame(ends, "first long, before long")
-    copies = docs.join(small(ends, len(heads)), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", F.col("before").alias("bucket"), F.lit(True).alias("copy"))
-    parts = int(min(MAX_PARTITIONS, max(1, len(heads), 1), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (size or 0) // PARTITION_BYTES)))
-    return placed.withColumn("copy", F.lit(False)).unionByName(copies), max(1, parts)
+    ends = spark.createDataFrame(ends, f"place {_PLACE}, before long")
+    copies = docs.withColumn("place", _place()).join(small(ends, len(heads)), "place").select("doc_id", "text", "place", F.col("before").alias("bucket"), F.lit(True).alias("copy"))
+    parts = max(1, min(len(heads), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // PARTITION_BYTES)))
+    return placed.withColumn("copy", F.lit(False)).unionByName(copies), parts
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -135,13 +172,14 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.  A null text is empty; its fingerprint is an empty
-    string.  Rows are followed by the next in order of (doc_id, text), a null
-    doc_id first, the last row by the first; a single row is followed by itself.
+    string.  Rows are followed by the next in order of doc_id, a null doc_id first,
+    rows of one doc_id by a hash of their texts, the last row by the first; a single
+    row is followed by itself.
     Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     placed, parts = with_next(docs)
-    order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
+    order = Window.partitionBy("bucket").orderBy("copy", "place")
     rows = placed.repartition(parts, "bucket")
     rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("after", F.lead("text").over(order))
     n = F.length("text")
