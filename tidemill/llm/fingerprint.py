@@ -35,7 +35,7 @@ BUCKET_BYTES = 1 << 20
 PARTITION_BYTES = 4 << 20
 CUTS = 1 << 17
 #: Sampled rows to a bucket.
-SAMPLE_ROWS = 8
+SAMPLE_ROWS = 16
 BLANKS = "[ \\t-\\r]+"
 
 
@@ -124,7 +124,7 @@ _PLACE = "struct<k:boolean,i:bigint,h:bigint>"
 def cut_points(docs: DataFrame, wanted: int, rows: int) -> list[tuple]:
     """Places that cut ``docs`` into about ``wanted`` buckets of equal bytes, from a sample by a hash of the row."""
     share = max(1, rows // (wanted * SAMPLE_ROWS))
-    some = docs if share == 1 else docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(share)) == 0)
+    some = docs if share == 1 else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
     got = sorted((r["p"]["k"], r["p"]["i"], r["p"]["h"], r["n"]) for r in some.select(_place().alias("p"), (F.octet_length("text") + 16).alias("n")).collect())
     total, upto, out = sum(r[3] for r in got), 0, []
     for r in got:

@@ -235,7 +235,7 @@ def cuts(docs: DataFrame, wanted: int, rows: int) -> Cuts:
     if wanted <= 1:
         return Cuts(np.empty(0, np.int64), np.empty(0, np.int64))
     share = max(1, rows // (wanted * SAMPLE_ROWS))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(share)) == 0) if share > 1 else docs
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0) if share > 1 else docs
     got = np.array(some.mapInArrow(tidy(_keys), "i long, h long, bytes long").collect(), np.int64).reshape(-1, 3)
     got = got[np.lexsort((got[:, 2], got[:, 1], got[:, 0]))]
     upto = np.cumsum(got[:, 2] + 16)
