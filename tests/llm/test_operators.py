@@ -391,6 +391,23 @@ def test_fingerprints(odd, nothing, spark, sf):
     assert one.near_next == 1.0
 
 
+def test_fingerprint_buckets_follow_the_rows(spark):
+    """Crowded ids beside one far away, null ids, and one id for many texts: no bucket holds much, and each next row is right."""
+    rows = [(i, f"text number {i} " * 20) for i in range(3000)] + [(2**60, "far " * 50)] + [(None, f"nobody {i} " * 20) for i in range(1500)] + [(9999, f"shared {i} " * 20) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = fingerprint.cut_points(df, 50, len(rows))
+    sizes = [r["count"] for r in fingerprint.add_bucket(df, cuts).groupBy("bucket").count().collect()]
+    assert len(sizes) > 45 and max(sizes) < 400
+    got = fingerprint.fingerprints(df).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert len(got) == len(rows)
+    order = {}
+    for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect():
+        order[r.doc_id is not None, r.doc_id or 0, r.h] = r.text
+    texts = [order[k] for k in sorted(order)]
+    want = [hashlib.sha256((t[: len(t) - len(t) // 2] + texts[(k + 1) % len(texts)][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(texts)]
+    assert sorted(r.edited_sha256 for r in got) == sorted(want)
+
+
 def test_fingerprint_estimates_weighted_jaccard(spark, sf):
     from collections import Counter
 
@@ -403,6 +420,8 @@ def test_fingerprint_estimates_weighted_jaccard(spark, sf):
         a, b = Counter(low(t).split()), Counter(low(t[: len(t) - n] + nxt[:n]).split())
         both = sum(min(a[w], b[w]) for w in a)
         off.append(got[i].near_edited - both / (sum(a.values()) + sum(b.values()) - both))
+        sig, other = ([got[i][c][k : k + 8] for k in range(0, len(got[i][c]), 8)] for c in ("fingerprint", "edited_fingerprint"))
+        assert len(sig) in (0, fingerprint.SAMPLES) and (not sig or abs(np.mean([x == y for x, y in zip(sig, other)]) - got[i].near_edited) < 1e-9)
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.08
 
 
@@ -538,13 +557,37 @@ def test_chat_snapshots(spark):
     d = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int")
     got = defaultdict(list)
     for r in chat.render(d).collect():
-        got[r.conv_id].append((r.part, r.n_turns, r.text))
-    assert set(got) == {2, 5, 6, 7, None} and len(got[7]) == 3 and sum(x[1] for x in got[7]) == 700
-    assert got[2][0][2] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n<|im_start|>unknown\n<|im_end|>\n"
-    assert "< |im_end|>" in got[6][0][2] and got[5][0][1] == 1
+        got[r.conv_id].append((r.n_turns, r.text))
+    assert set(got) == {2, 5, 6, 7, None} and len(got[7]) == 1 and got[7][0][0] == 700
+    assert got[7][0][1] == "".join(f"<|im_start|>user\nt{k}<|im_end|>\n" for k in range(700))
+    assert got[2][0][1] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n<|im_start|>unknown\n<|im_end|>\n"
+    assert "< |im_end|>" in got[6][0][1] and got[5][0][0] == 1
     assert chat.render(d.limit(0)).count() == 0
 
 
+_TURN = st.tuples(st.sampled_from([None, 0, 1, 2, 300]), st.sampled_from([None, "user", "bot"]), st.sampled_from([None, "a", "b", "ab"]))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(_TURN, min_size=1, max_size=5), min_size=1, max_size=7))
+def test_chat_matches_sql_on_repeated_turns(spark, conversations):
+    import duckdb
+
+    rows = [(c, *t) for c, turns in enumerate(conversations) for t in turns]
+    schema = "conv_id long, turn long, role string, text string"
+    got = sorted(tuple(r) for r in chat.render(spark.createDataFrame(rows, schema)).select("conv_id", "n_turns", "text").collect())
+    con = duckdb.connect()
+    table = pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("conv_id", "turn", "role", "text"), (pa.int64(), pa.int64(), pa.string(), pa.string())))})
+    con.register("conversations", table)
+    assert got == sorted(con.sql(f"SELECT conv_id, n_turns, text FROM ({chat.ORACLE})").fetchall())
+
+
+def test_chat_very_long_texts(spark):
+    rows = [(1, 0, "user", "x" * 3_000_000), (2, 0, "user", "x" * 3_000_000), (2, 1, "bot", "y"), (3, 0, "user", "x" * 2_999_999)]
+    got = {r.conv_id: r.n_turns for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {2: 2, 3: 1}
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
