@@ -1,12 +1,20 @@
 """License scans: phrases, and an exact set-similarity join with notice templates, in DataFrame functions only.
 
-Every run of ``WINDOW`` words (each starting ``STEP`` words after the last) is a
+Every run of ``WINDOW`` consecutive words of a text, wherever it starts, is a
 block.  A block matches a template when it holds at least ``THRESHOLD`` of the
-template's distinct words.  Words are ordered by how many documents hold them,
-rarest first.  A block that matches must hold one of the template's first
-``|T| - need + 1`` words in that order (prefix filter), hold ``need`` template
-words at all (length filter), and meet its first template word early enough to
-still reach ``need`` (positional filter); what passes is verified exactly.
+template's distinct words.  The join goes over postings:
+
+* the words of all templates are ordered by how many documents hold them, rarest
+  first;
+* prefix filter: a template is a candidate for a document that holds one of its
+  first ``|T| - need + 1`` words in that order;
+* length filter: the document must hold ``need`` of its words at all;
+* positional filter: places of template words stay only where the rarest template
+  word within a block's reach leaves room for ``need``;
+* the blocks that begin at the remaining places are counted exactly.
+
+The best block of a text begins at a template word (moving a block's start to its
+first template word loses none), so blocks at those places decide for all starts.
 """
 
 from __future__ import annotations
@@ -15,10 +23,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .common import Work, small
 from .fingerprint import lower_ascii
 
-WINDOW, STEP, THRESHOLD = 64, 32, 0.85
+WINDOW, THRESHOLD = 64, 0.85
 
 # The phrases of the contract and their labels.
 PHRASES = {
@@ -57,58 +67,30 @@ def _pattern(phrase: str) -> str:
     return "".join(f" {w} " for w in phrase.split())
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, t in TEMPLATES for w in t.split()})
+def vocabulary(templates=TEMPLATES) -> list[str]:
+    return sorted({w for _, t in templates for w in t.split()})
 
 
-def ordered_templates(docs: DataFrame, threshold: float = THRESHOLD) -> list[dict]:
-    """Templates with their words rarest first, by the number of rows of ``docs`` (column ``words``) that hold each."""
-    vocab = vocabulary()
-    held = docs.select(F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in vocab]))).alias("w")).groupBy("w").count()
-    count = {r["w"]: r["count"] for r in held.collect()}  # one row for each word of the templates
-    out = []
-    for label, text in TEMPLATES:
-        words = sorted(set(text.split()), key=lambda w: (count.get(w, 0), w))
-        need = math.ceil(threshold * len(words) - 1e-9)
-        out.append({"label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1]})
-    return out
+def template_postings(held: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(word, t, label, n, need, rank): the words of each template, rank 1 for the one that fewest rows of ``held`` (words) hold.
 
-
-def _words(list_: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in list_])
-
-
-def block_matches(words: Column, templates: list[dict], window: int = WINDOW, step: int = STEP) -> Column:
-    """array<struct<label, start, containment>>: all blocks of a word array that reach a template's threshold."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(words) - 1) / step).cast("int")))
-    any_prefix = _words(sorted({w for t in templates for w in t["prefix"]}))
-    blocks = F.transform(starts, lambda k: F.struct((k * step).cast("long").alias("start"), F.slice(words, k * step + 1, F.lit(window)).alias("w")))
-    blocks = F.filter(blocks, lambda b: F.arrays_overlap(b["w"], any_prefix))
-    table = F.array(*[F.struct(F.lit(t["label"]).alias("label"), _words(t["words"]).alias("words"), _words(t["prefix"]).alias("prefix"), F.lit(t["need"]).alias("need")) for t in templates])
-
-    def join(b: Column) -> Column:
-        near = F.filter(table, lambda t: (F.size(b["w"]) >= t["need"]) & F.arrays_overlap(t["prefix"], b["w"]))
-        both = F.transform(near, lambda t: F.struct(t["label"].alias("label"), t["words"].alias("words"), t["need"].alias("need"), F.array_intersect(t["words"], b["w"]).alias("common")))
-        # the common words keep the template's order: the first one's place bounds what can still follow
-        both = F.filter(both, lambda t: F.size(t["words"]) - F.array_position(t["words"], t["common"][0]) + 1 >= t["need"])
-        full = F.filter(both, lambda t: F.size(t["common"]) >= t["need"])
-        return F.transform(full, lambda t: F.struct(t["label"].alias("label"), b["start"].alias("start"), (F.size(t["common"]) / F.size(t["words"])).alias("containment")))
-
-    return F.flatten(F.transform(blocks, join))
-
-
-def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text).
-
-    doc_id, n_words, n_base (places of a phrase), first_word and last_word (their
-    smallest and largest start, else null), base_labels, labels (distinct, sorted,
-    comma-joined), score (1 with a phrase, else the best containment of a matching
-    block, else 0), blocks (the matching blocks).  A null or empty text has no words
-    and no labels.  Repeated rows are returned as often; other columns are ignored.
+    Counting is over all documents; its result has a row for each template word.
     """
+    spark = held.sparkSession
+    rows = []
+    for t, (label, text) in enumerate(templates):
+        words = sorted(set(text.split()))
+        rows += [(w, t, label, len(words), math.ceil(threshold * len(words) - 1e-9)) for w in words]
+    table = spark.createDataFrame(rows, "word string, t int, label string, n int, need int")
+    count = held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
+    order = Window.partitionBy("t").orderBy(F.coalesce("docs", F.lit(0)), "word")
+    return table.join(count, "word", "left").select("word", "t", "label", "n", "need", F.row_number().over(order).alias("rank"))
+
+
+def _scanned(docs: DataFrame, templates, threshold: float) -> DataFrame:
+    """One pass over the texts: the phrases' columns, held (template words of the document) and, where enough are held, words."""
     docs = docs.select("doc_id", spaced(F.col("text")).alias("s"))
     split = F.when(F.col("s") == "", F.array().cast("array<string>")).otherwise(F.split(F.expr("substring(s, 2, length(s) - 2)"), "  "))
-    templates = ordered_templates(docs.select(split.alias("words")), threshold)
     marks = {p: _pattern(p) for p in PHRASES}
     hit = {p: F.col("s").contains(m) for p, m in marks.items()}
     anyhit = None
@@ -126,22 +108,58 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         n = F.when(hit[p], _count(F.col("s"), m)).otherwise(F.lit(0).cast("long"))
         total = n if total is None else total + n
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(hit[p], F.lit(x)) for p, x in PHRASES.items()]))))
-    out = docs.withColumn("n_words", F.floor(spaces(F.col("s")) / 2).cast("long"))
-    # a document without any template's prefix word is done
-    rare = sorted({w for t in templates for w in t["prefix"]})
-    out = out.withColumn("words", split)
-    blocks = F.when(F.arrays_overlap("words", _words(rare)), block_matches(F.col("words"), templates))
-    none = F.array().cast("array<struct<label:string,start:bigint,containment:double>>")
-    out = out.select(
+    vocab = F.array(*[F.lit(w) for w in vocabulary(templates)])
+    least = min(math.ceil(threshold * len(set(text.split())) - 1e-9) for _, text in templates)
+    out = docs.withColumn("n_words", F.size(split).cast("long")).withColumn("words", split)
+    out = out.withColumn("held", F.array_intersect("words", vocab))
+    return out.select(
         "doc_id",
         "n_words",
         F.when(anyhit, total).otherwise(F.lit(0).cast("long")).alias("n_base"),
         F.when(anyhit, F.least(*first)).alias("first_word"),
         F.when(anyhit, F.greatest(*last)).alias("last_word"),
         F.when(anyhit, base).otherwise(F.array().cast("array<string>")).alias("base"),
-        F.coalesce(blocks, none).alias("blocks"),
+        "held",
+        F.when(F.size("held") >= least, F.col("words")).alias("words"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
+
+
+def block_matches(scanned: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+    """(row, label, start, containment): the blocks that begin at a template word and reach the threshold.
+
+    ``scanned`` has row, held (distinct template words) and words (null where too few are held).
+    """
+    post = Work(scanned.sparkSession, "licenses").table(template_postings(scanned, templates, threshold), "postings")
+    post = small(post, post.count())
+    some = scanned.where("words is not null")
+    near = some.select("row", "held", F.explode("held").alias("word")).join(post.where("rank <= n - need + 1"), "word").select("row", "t").distinct()
+    # the length filter, on the words that the document holds
+    enough = some.select("row", F.explode("held").alias("word")).join(post, "word").groupBy("row", "t").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need")
+    pairs = near.join(enough.select("row", "t"), ["row", "t"])
+    places = some.select("row", F.posexplode("words").alias("pos", "word")).join(post, "word").join(pairs, ["row", "t"])
+    order = Window.partitionBy("row", "t").orderBy("pos")
+    places = places.withColumn("rarest", F.min("rank").over(order.rangeBetween(1 - window, window - 1))).where("n - rarest + 1 >= need")
+    counted = places.withColumn("c", F.size(F.collect_set("rank").over(order.rangeBetween(0, window - 1)))).where("c >= need")
+    return counted.select("row", "label", F.col("pos").cast("long").alias("start"), (F.col("c") / F.col("n")).alias("containment"))
+
+
+def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text).
+
+    doc_id, n_words, n_base (places of a phrase), first_word and last_word (their
+    smallest and largest start, else null), base_labels, labels (distinct, sorted,
+    comma-joined), score (1 with a phrase, else the best containment of any block
+    that matches a template, else 0), matches (label, containment and first start of
+    the best block of each label).  A null or empty text has no words and no labels.
+    Repeated rows are returned as often; other columns are ignored.
+    """
+    scanned = Work(docs.sparkSession, "licenses").table(_scanned(docs, templates, threshold), "scanned")
+    best = block_matches(scanned, templates, threshold).groupBy("row", "label").agg(F.max(F.struct("containment", (-F.col("start")).alias("m"))).alias("b"))
+    found = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("label", F.col("b.containment").alias("containment"), (-F.col("b.m")).alias("start")))).alias("matches"))
+    none = F.array().cast("array<struct<label:string,containment:double,start:bigint>>")
+    out = scanned.drop("words", "held").join(found, "row", "left").withColumn("matches", F.coalesce("matches", none))
+    top = F.coalesce(F.array_max(F.transform("matches", lambda b: b["containment"])), F.lit(0.0))
     return out.select(
         "doc_id",
         "n_words",
@@ -149,7 +167,7 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "first_word",
         "last_word",
         F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", F.transform("blocks", lambda b: b["label"]))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(best).alias("score"),
-        "blocks",
+        F.array_join(F.array_sort(F.array_union("base", F.transform("matches", lambda b: b["label"]))), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(top).alias("score"),
+        "matches",
     )

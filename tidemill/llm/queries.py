@@ -61,7 +61,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
-    return license_scan(_table(spark, sf_dir, "documents")).drop("blocks")
+    return license_scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +148,10 @@ p(ph, label) AS (VALUES {phrases}),
 t(label, tw) AS (VALUES {templates}),
 places AS (SELECT doc_id, label, k - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d), p WHERE w[k] = ph[1] AND list_slice(w, k, k + len(ph) - 1) = ph),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_slice(w, b * {_licenses.STEP} + 1, b * {_licenses.STEP} + {_licenses.WINDOW}) AS bw
-           FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // {_licenses.STEP} + 1)) AS b FROM d WHERE len(w) > 0)),
-hits AS (SELECT doc_id, label, c / len(tw) AS containment FROM (SELECT doc_id, label, tw, len(list_intersect(tw, bw)) AS c FROM blocks, t) WHERE c >= ceil({_licenses.THRESHOLD} * len(tw) - 1e-9)),
+words AS (SELECT doc_id, label, len(tw) AS n, k, CASE WHEN list_contains(tw, w[k]) THEN w[k] END AS word
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d), t),
+blocks AS (SELECT doc_id, label, n, count(DISTINCT word) OVER (PARTITION BY doc_id, label ORDER BY k RANGE BETWEEN CURRENT ROW AND {_licenses.WINDOW - 1} FOLLOWING) AS c FROM words),
+hits AS (SELECT doc_id, label, c / n AS containment FROM blocks WHERE c >= ceil({_licenses.THRESHOLD} * n - 1e-9)),
 best AS (SELECT doc_id, max(containment) AS best FROM hits GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
