@@ -441,17 +441,27 @@ def test_base_spans_equal_the_patterns():
 
 def test_crf_decodes_long_runs_whole():
     """Phone numbers in a list of some hundred tokens, none of them lost at a cut."""
-    net, one = pii.train(), "one two three (523) 555-1055 "
+    net, one = pii.train(), "one two three (523) 555-1055 "  # 300 tokens
     text = one * 60
     got = pii.crf_spans(net, [text], [pii.base_spans(text)])[0]
     assert [x[1] for x in sorted(got, key=lambda x: x[1])] == [k * len(one) + len("one two three ") for k in range(60)]
 
 
-def test_crf_learns_its_table_and_adds_spans():
-    net = pii.train()
+def decode(net, line):
+    plain, tok, tags, _ = pii.labelled_tokens(line)
+    score = net.scores([plain[a:b] for a, b in tok])
+    return score, net.viterbi(score[None], np.array([len(tok)])), tags
+
+
+@pytest.fixture(scope="module")
+def net():
+    return pii.train()
+
+
+def test_crf_learns_its_table_and_adds_spans(net):
     for line in pii.LABELLED:
-        tok, tags = pii.labelled_tokens(line)
-        assert net.viterbi(net.scores(tok)[None], np.array([len(tok)]))[0].tolist() == tags
+        _, (got, _, _), tags = decode(net, line)
+        assert got[0].tolist() == tags
     text = "please ring (523) 555-1055 about version 2.0.1 of 2024-01-15"
     got = pii.crf_spans(net, [text], [pii.base_spans(text)])[0]
     assert [text[a:b] for _, a, b in got] == ["(523) 555-1055"]
@@ -459,6 +469,41 @@ def test_crf_learns_its_table_and_adds_spans():
     assert pii.crf_spans(net, clean, [[]] * 4) == [[], [], [], []]
 
 
+def test_crf_on_held_out_lines(net):
+    precision, recall = pii.held_out_quality(net)
+    assert precision >= 0.9 and recall >= 0.8
+    assert not {x for x in pii.HELD_OUT if x in pii.LABELLED}
+
+
+def test_viterbi_and_margin_match_enumeration():
+    """Best labelling, and the best one with a stretch outside, over all labellings of short runs; padded rows too."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    net = pii.Crf()
+    net.move += rng.normal(0, 1, net.move.shape)
+    net.first += rng.normal(0, 1, net.first.shape)
+    k, runs = len(pii.LABELS), [rng.normal(0, 2, (n, len(pii.LABELS))) for n in (1, 2, 3, 4)]
+    batch = np.zeros((4, 4, k))
+    for r, x in enumerate(runs):
+        batch[r, : len(x)] = x
+    tags, ahead, behind = net.viterbi(batch, np.array([1, 2, 3, 4]))
+    for r, x in enumerate(runs):
+        n = len(x)
+        total = {y: net.first[y[0]] + x[range(n), y].sum() + sum(net.move[p, q] for p, q in zip(y, y[1:])) for y in product(range(k), repeat=n)}
+        best = max(total, key=total.get)
+        assert tuple(tags[r, :n]) == best
+        for a, b in ((0, n), (n - 1, n), (0, 1), (n // 2, n)):
+            outside = max(v for y, v in total.items() if not any(y[a:b]))
+            assert abs(net.margin(x, ahead[r, :n], behind[r, :n], a, b) - (total[best] - outside)) < 1e-9
+
+
+def test_crf_finds_secrets_and_long_tokens(net):
+    text = 'x token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" y. Please phone 523-555-1055 and ask for it. ' + "7" * 300000 + " and " + "a1" * 100000
+    got = sorted(pii.base_spans(text) + pii.crf_spans(net, [text], [pii.base_spans(text)])[0])
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in got][:2] == [("phone", "523-555-1055"), ("secret", "9b0b3c6a43eb78aa99cbd7049c572391524f37a8")]
+
+
 def test_personal_data_odd_rows(odd, nothing):
     got = {r.doc_id: r for r in pii.personal_data(odd).collect()}
     r = got[10]
