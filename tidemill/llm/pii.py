@@ -433,7 +433,7 @@ def train(table: list[str] | None = None) -> Crf:
 # ---------------------------------------------------------------- spans
 #: Tokens around a seed that belong to its run; the least margin of a span.
 _REACH = 4
-MARGIN = 0.5
+MARGIN = 1.0
 _HIT = re.compile(r"[0-9@]|\b[dD][oO][tT]\b")
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 _BLANKS = " \t\n\x0b\f\r"
