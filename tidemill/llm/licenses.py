@@ -130,14 +130,18 @@ def block_matches(scanned: DataFrame, templates=TEMPLATES, threshold: float = TH
 
     ``scanned`` has row, held (distinct template words) and words (null where too few are held).
     """
-    post = Work(scanned.sparkSession, "licenses").table(template_postings(scanned, templates, threshold), "postings")
+    work = Work(scanned.sparkSession, "licenses")
+    post = work.table(template_postings(scanned, templates, threshold), "postings")
     post = small(post, post.count())
     some = scanned.where("words is not null")
     near = some.select("row", "held", F.explode("held").alias("word")).join(post.where("rank <= n - need + 1"), "word").select("row", "t").distinct()
     # the length filter, on the words that the document holds
     enough = some.select("row", F.explode("held").alias("word")).join(post, "word").groupBy("row", "t").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need")
-    pairs = near.join(enough.select("row", "t"), ["row", "t"])
-    places = some.select("row", F.posexplode("words").alias("pos", "word")).join(post, "word").join(pairs, ["row", "t"])
+    pairs = work.table(near.join(enough.select("row", "t"), ["row", "t"]), "pairs")
+    n = pairs.count()
+    # only the texts of candidates are cut into postings
+    some = some.select("row", "words").join(small(pairs.select("row").distinct(), n), "row", "left_semi")
+    places = some.select("row", F.posexplode("words").alias("pos", "word")).join(post, "word").join(small(pairs, n), ["row", "t"])
     order = Window.partitionBy("row", "t").orderBy("pos")
     places = places.withColumn("rarest", F.min("rank").over(order.rangeBetween(1 - window, window - 1))).where("n - rarest + 1 >= need")
     counted = places.withColumn("c", F.size(F.collect_set("rank").over(order.rangeBetween(0, window - 1)))).where("c >= need")
