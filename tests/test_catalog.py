@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidemill.functions import numbers as N
 from tidemill.functions import text as X
-from tidemill.operators import attachments, chunking, dedup, drafts, fusion, metrics, search, threading
-from tidemill.plans import catalog, more  # noqa: F401
+from tidemill.operators import attachments, chunking, dedup, drafts, fusion, hybrid, metrics, normalize, search, threading
+from tidemill.plans import catalog, more, retrieval  # noqa: F401
 from tidemill.sources import messages, storage
 from tidemill.streaming import guards
 
@@ -124,6 +124,60 @@ def test_near_resolution_is_greedy(spark):
         leaders += [n] if first is None else []
 
 
+def test_near_resolution_of_a_long_chain(spark):
+    got = dedup.resolve_near(spark.createDataFrame([(k, k + 1) for k in range(70)], "a long, b long"), spark.range(71).withColumnRenamed("id", "node")).collect()
+    assert {(r.node, r.leader, r.original) for r in got} == {(k, k % 2 == 0, None if k % 2 == 0 else k - 1) for k in range(71)}
+
+
+def test_values_at_ranks(spark):
+    import statistics
+
+    from tidemill.operators import ranks
+
+    data = {"a": [float(x * 7 % 113) for x in range(400)], "b": [3.0] * 150, None: [1.0, 2.0], "d": [float(x) for x in range(100)]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("a", None), ("empty", None)], "g string, v double")
+    got = {r.g: r for r in ranks.values_at(df, ["g"], "v", {"p95": ranks.nearest(0.95), "q95": ranks.exclusive(20, 19), "q99": ranks.exclusive(100, 99)}).collect()}
+    assert set(got) == set(data)
+    for g, vs in data.items():
+        assert got[g].n == len(vs) and got[g].p95 == sorted(vs)[int(len(vs) * 0.95)]
+        for name, parts in (("q95", 20), ("q99", 100)):
+            want = statistics.quantiles(vs, n=parts)[-1] if len(vs) >= parts else None
+            assert (got[g][name] is None) == (want is None) and (want is None or abs(got[g][name] - want) < 1e-9)
+
+
+def test_hybrid_literals(spark):
+    schema = "query_id long, chunk_id long, rank int, score double"
+    a = spark.createDataFrame([(1, 7, 1, 9.0), (1, 8, 2, 8.0), (2, 9, 1, 5.0)], schema)
+    b = spark.createDataFrame([(1, 8, 1, 0.9), (3, 5, 1, 0.8)], schema)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score, r.sources) for r in hybrid.hybrid_search(a, b, 2).collect()}
+    assert got[1, 1][0] == 8 and got[1, 1][2] == ["bm25", "vector"] and abs(got[1, 1][1] - (1 / 61 + 1 / 60)) < 1e-9
+    assert got[2, 1] == (9, 5.0, ["bm25"]) and got[3, 1] == (5, 0.8, ["vector"])
+    assert hybrid.hybrid_search(a.limit(0), b.limit(0), 2).count() == 0
+    with pytest.raises(ValueError):
+        hybrid.retrieve(None, None)
+    r = spark.createDataFrame([(1, "t", "  " + "q" * 600, 50), (2, "t", " ", 5), (3, None, "x", 5), (4, "u", "x", None)], "query_id long, tenant_id string, query string, k int")
+    kept = {x.query_id: (len(x.query), x.k) for x in hybrid.guard_requests(r).collect()}
+    assert kept == {1: (500, 20), 4: (1, 20)}
+    hits = spark.createDataFrame([(1, "t"), (1, "u"), (4, "u")], "query_id long, tenant_id string")
+    assert {tuple(x) for x in hybrid.own_citations(hits, r).collect()} == {(1, "t"), (4, "u")}
+
+
+def test_fields_and_fuzzy_terms(spark):
+    d = spark.createDataFrame([(1, "alpha report", "nothing here", 1), (2, "other", "alpha alpha beta", 2), (3, "other", "alphq beta", 3)], "id long, subject string, body string, sent long")
+    q = spark.createDataFrame([(1, "alpha")], "q long, text string")
+    top = lambda **o: [(r.id, r.field) for r in hybrid.bm25_fields(d, q, "id", {"subject": "subject", "content": "body"}, "q", "text", newest="sent", **o).orderBy("rank").collect()]
+    assert top() == [(1, "subject"), (2, "content")]
+    assert top(fuzzy=True) == [(1, "subject"), (3, "content"), (2, "content")] or {x[0] for x in top(fuzzy=True)} == {1, 2, 3}
+
+
+def test_normalization(spark):
+    d = spark.createDataFrame([(1, "Hello  there\n\nmore\n-- \nJo"), (2, "<p>Hi <b>you</b></p>"), (3, "")], "id long, text string")
+    kind = F.when(F.col("id") == 2, "text/html").otherwise("text/plain")
+    got = {r.id: r for r in normalize.normalize_content(d, "text", kind).collect()}
+    assert got[1].normalized_text.startswith("Hello there\n\nmore") and got[2].manifest.normalization_steps[0] == "html_to_text"
+    assert got[3].manifest.length_chars == 0 and got[3].manifest.token_estimate == 1 and got[1].manifest.stripped_blocks == 0
+
+
 def test_threads(spark):
     m = [("t", 0, "a", "Hello", None, []), ("t", 1, "b", "Re: Hello", "a", ["a"]), ("t", 2, "c", "Other", None, ["zz", "b"]), ("t", 3, "d", "hello", None, []), ("u", 0, "e", "Hello", None, [])]
     df = spark.createDataFrame(m, "tenant_id string, seq long, message_id string, subject string, in_reply_to string, refs array<string>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import nearest_rank
+from .ranks import nearest, values_at
 from .search import top_k
 
 
@@ -52,6 +52,11 @@ def rerank(fused: DataFrame, scorer: Column, limit: int = 100) -> DataFrame:
 
 def performance(times: DataFrame, group: list[str], col: str) -> DataFrame:
     """Number, mean, nearest-rank 95th percentile, maximum and a grade of search times in seconds."""
-    g = times.groupBy(*group).agg(F.count("*").alias("n"), F.avg(col).alias("avg_time"), F.collect_list(col).alias("v"), F.max(col).alias("max_time"))
+    g = times.groupBy(*group).agg(F.count("*").alias("n"), F.avg(col).alias("avg_time"), F.max(col).alias("max_time"))
+    ranked = values_at(times, group, col, {"p95": nearest(0.95)})
+    same = F.lit(True)
+    for c in group:
+        same &= F.col(f"g.{c}").eqNullSafe(F.col(f"r.{c}"))
     grade = F.when(F.col("avg_time") < 0.1, "excellent").when(F.col("avg_time") < 0.5, "good").when(F.col("avg_time") < 1.0, "fair").otherwise("poor")
-    return g.select(*group, "n", "avg_time", nearest_rank(F.col("v"), 0.95).alias("p95"), "max_time", grade.alias("grade"))
+    out = g.alias("g").join(ranked.alias("r"), same, "left")
+    return out.select(*[F.col(f"g.{c}") for c in group], "g.n", "avg_time", F.coalesce("p95", F.lit(0.0)).alias("p95"), "max_time", grade.alias("grade"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import exclusive_quantile, hit_at, nearest_rank, ndcg_linear, precision_recall_f1, reciprocal_rank
+from ..functions.numbers import hit_at, ndcg_linear, precision_recall_f1, reciprocal_rank
+from .ranks import exclusive, nearest, values_at
 
 # Lengths of the time windows in hours; anything else is a day.
 WINDOWS = {"1h": 1, "24h": 24, "7d": 168, "30d": 720}
@@ -72,22 +73,23 @@ def run_benchmark(queries: DataFrame, measured: DataFrame, thresholds: dict | No
 
 def performance_summary(logs: DataFrame, group: list[str], ms: str = "total_time_ms", success: str = "success") -> DataFrame:
     """Searches by outcome; mean and exclusive 95th and 99th percentiles of successful times (0 below 20 and 100 values)."""
+    good = F.when(F.col(success), F.col(ms))
     g = logs.groupBy(*group).agg(
         F.count("*").alias("total_searches"),
         F.count_if(F.col(success)).alias("successful_searches"),
         F.count_if(~F.col(success)).alias("failed_searches"),
-        F.avg(F.when(F.col(success), F.col(ms))).alias("m"),
-        F.collect_list(F.when(F.col(success), F.col(ms))).alias("v"),
-    )
-    return g.select(
-        *group,
-        "total_searches",
-        "successful_searches",
-        "failed_searches",
-        F.coalesce("m", F.lit(0.0)).alias("avg_time_ms"),
-        exclusive_quantile(F.col("v"), 20, 19).alias("p95_ms"),
-        exclusive_quantile(F.col("v"), 100, 99).alias("p99_ms"),
+        F.avg(good).alias("m"),
     )
+    ranked = values_at(logs.select(*group, good.alias("_v")), group, "_v", {"p95_ms": exclusive(20, 19), "p99_ms": exclusive(100, 99)})
+    out = g.alias("g").join(ranked.alias("r"), _same(group), "left")
+    return out.select(*[F.col(f"g.{c}") for c in [*group, "total_searches", "successful_searches", "failed_searches"]], F.coalesce("m", F.lit(0.0)).alias("avg_time_ms"), *[F.coalesce(f"r.{c}", F.lit(0.0)).alias(c) for c in ("p95_ms", "p99_ms")])
+
+
+def _same(group: list[str]) -> Column:
+    out = F.lit(True)
+    for c in group:
+        out &= F.col(f"g.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return out
 
 
 def global_metrics(summary: DataFrame) -> DataFrame:
@@ -141,7 +143,9 @@ def progress(batches: DataFrame) -> DataFrame:
 
 
 def ocr_latency_p95(times: DataFrame, group: list[str], col: str) -> DataFrame:
-    return times.groupBy(*group).agg(F.collect_list(col).alias("v")).select(*group, nearest_rank(F.col("v"), 0.95).alias("p95"))
+    groups = times.select(*group).distinct()
+    out = groups.alias("g").join(values_at(times, group, col, {"p95": nearest(0.95)}).alias("r"), _same(group), "left")
+    return out.select(*[F.col(f"g.{c}") for c in group], F.coalesce("p95", F.lit(0.0)).alias("p95"))
 
 
 def linear_p95(times: DataFrame, group: list[str], col: str) -> DataFrame:
@@ -156,8 +160,10 @@ def long_format(summary: DataFrame, keys: list[str]) -> DataFrame:
 
 def step_metrics(events: DataFrame, group: list[str]) -> DataFrame:
     """By step: runs, mean and nearest-rank 95th percentile of durations, success rate."""
-    g = events.groupBy(*group).agg(F.count("*").alias("runs"), F.avg("duration_ms").alias("avg_ms"), F.collect_list(F.when(F.col("duration_ms") > 0, F.col("duration_ms"))).alias("v"), F.avg(F.col("ok").cast("double")).alias("success_rate"))
-    return g.select(*group, "runs", "avg_ms", nearest_rank(F.col("v"), 0.95).alias("p95_ms"), "success_rate")
+    g = events.groupBy(*group).agg(F.count("*").alias("runs"), F.avg("duration_ms").alias("avg_ms"), F.avg(F.col("ok").cast("double")).alias("success_rate"))
+    ranked = values_at(events.where("duration_ms > 0"), group, "duration_ms", {"p95_ms": nearest(0.95)})
+    out = g.alias("g").join(ranked.alias("r"), _same(group), "left")
+    return out.select(*[F.col(f"g.{c}") for c in [*group, "runs", "avg_ms"]], F.coalesce("p95_ms", F.lit(0.0)).alias("p95_ms"), "g.success_rate")
 
 
 def pair_steps(marks: DataFrame) -> DataFrame:

@@ -185,19 +185,6 @@ def near_dup_resolved(spark, sf):
     return dedup.resolve_near(edges, h.select(F.col("doc_id").alias("node")))
 
 
-@query(
-    f"""
-WITH words AS (SELECT DISTINCT doc_id, unnest({_FEATURES_SQL}) AS word FROM documents),
-h AS (SELECT doc_id, CAST('0x' || md5(word)[1:7] AS BIGINT) AS h FROM words),
-m AS (SELECT doc_id, i, min(((7919 * (i + 1) + 1) * h + 104729 * (i + 1)) % 1000000007) AS v FROM h, range(0, 16) r(i) GROUP BY doc_id, i)
-SELECT doc_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS signature FROM m GROUP BY doc_id
-"""
-)
-def minhash_signature(spark, sf):
-    s = dedup.minhash(t(spark, sf, "documents"), "doc_id", "text", perms=16)
-    return s.select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
-
-
 _MINHASH_SQL = f"""
 words AS (SELECT DISTINCT doc_id, unnest({_FEATURES_SQL}) AS word FROM documents),
 h AS (SELECT doc_id, CAST('0x' || md5(word)[1:7] AS BIGINT) AS h FROM words),
@@ -206,7 +193,7 @@ m AS (SELECT doc_id, i, min(((7919 * (i + 1) + 1) * h + 104729 * (i + 1)) % 1000
 
 
 @query(f"WITH {_MINHASH_SQL} SELECT doc_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS signature FROM m GROUP BY doc_id")
-def minhash_signature_128(spark, sf):
+def minhash_signature(spark, sf):
     s = dedup.minhash(t(spark, sf, "documents"), "doc_id", "text")
     return s.select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
@@ -462,14 +449,14 @@ def date_range_agg(spark, sf):
 
 @query(
     """
-WITH h AS (SELECT b.item_id AS query_id, doc_id, CASE WHEN starts_with(lower(text_), lower(b.text[1:30])) THEN 0.9 ELSE 0.7 END AS score
-           FROM (SELECT doc_id, text AS text_ FROM documents) d JOIN benchmark b ON contains(lower(d.text_), lower(b.text[1:30]))),
+WITH h AS (SELECT b.item_id AS query_id, doc_id, CASE WHEN starts_with(lower(text_), lower(b.text)) THEN 0.9 ELSE 0.7 END AS score
+           FROM (SELECT doc_id, text AS text_ FROM documents) d JOIN benchmark b ON contains(lower(d.text_), lower(b.text))),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rn FROM h)
 SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS INTEGER) AS rank FROM n WHERE rn <= 10
 """
 )
 def sql_text_search(spark, sf):
-    q = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 30).alias("query"))
+    q = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     d = t(spark, sf, "documents").select("doc_id", "text", F.col("doc_id").alias("newest"))
     return search.text_search(d, q, "doc_id", "text", "newest").select("query_id", "doc_id", "score", "rank")
 
@@ -769,16 +756,19 @@ def workflow_steps(spark, sf):
 
 @query(
     f"""WITH {_BM25_SQL}, top AS (SELECT * FROM bm WHERE rank <= 10),
-rel AS (SELECT query_id, rank, CAST(CASE WHEN contains(lower(d.text), lower(b.text[1:40])) THEN 1.0 WHEN l.quality = 1 THEN 0.6 ELSE 0.2 END AS DOUBLE) AS s
+rel AS (SELECT query_id, rank, CAST(CASE WHEN contains(lower(d.text), lower(b.text)) THEN 1.0 WHEN l.quality = 1 THEN 0.6 ELSE 0.2 END AS DOUBLE) AS s
         FROM top JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id LEFT JOIN labels l USING (doc_id)),
 s AS (SELECT query_id AS user_id, list(s ORDER BY rank) AS v FROM rel GROUP BY query_id)
 SELECT user_id AS query_id, round({_hit(5)}, 6) AS hit_at_5, round({_MRR}, 6) AS mrr, round({_NDCG}, 6) AS ndcg FROM s"""
 )
 def search_benchmark(spark, sf):
+    from ..sources.work import cut
+
     d, b, lab = (t(spark, sf, n) for n in ("documents", "benchmark", "labels"))
-    top = _bm25(spark, sf).select("query_id", "doc_id", "rank")
-    low = d.select("doc_id", F.lower("text").alias("low")).join(F.broadcast(top.select("doc_id").distinct()) if False else top.select("doc_id").distinct(), "doc_id", "left_semi")
-    rel = top.join(low, "doc_id").join(b.select(F.col("item_id").alias("query_id"), F.lower(F.substring("text", 1, 40)).alias("head")), "query_id").join(lab.select("doc_id", "quality"), "doc_id", "left")
+    # written once: the lists are joined to the texts, and choose them
+    top = cut(_bm25(spark, sf).select("query_id", "doc_id", "rank"), spark)
+    low = d.select("doc_id", F.lower("text").alias("low")).join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+    rel = top.join(low, "doc_id").join(b.select(F.col("item_id").alias("query_id"), F.lower("text").alias("head")), "query_id").join(lab.select("doc_id", "quality"), "doc_id", "left")
     rel = rel.withColumn("s", F.when(F.col("low").contains(F.col("head")), 1.0).when(F.col("quality") == 1, 0.6).otherwise(0.2))
     q = metrics.quality(metrics.score_lists(rel, ["query_id"], "rank", "s"), ["query_id"])
     return q.select("query_id", *[F.round(c, 6).alias(c) for c in ("hit_at_5", "mrr", "ndcg")])
@@ -905,15 +895,8 @@ def retry_jobs(spark, sf):
     return search.retry_failed(_jobs(spark, sf)).select("id", "status", "retry_count")
 
 
-@query("SELECT event_id, date_trunc('day', ts) AS day, round(sum(value) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events WHERE user_id = 3")
-def daily_cost_guard(spark, sf):
-    from ..streaming.guards import running_budget
-
-    return running_budget(t(spark, sf, "events").where("user_id = 3"), "day", "value", None).select("event_id", F.col("bucket").alias("day"), F.round("spent", 6).alias("spent"))
-
-
 @query("WITH s AS (SELECT event_id, date_trunc('day', ts) AS day, round(sum(value) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events) SELECT event_id, day, spent, spent <= 100 AS allowed FROM s")
-def daily_cost_guard_all(spark, sf):
+def daily_cost_guard(spark, sf):
     from ..streaming.guards import running_budget
 
     b = running_budget(t(spark, sf, "events"), "day", "value", 100).withColumn("spent", F.round("spent", 6))

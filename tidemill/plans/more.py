@@ -41,9 +41,9 @@ def used_citations(spark, sf):
     return drafts.used_citations(d, cites).select("draft_id", "chunk_uid", "rank")
 
 
-@query("WITH l AS (SELECT conv_id, list(text[1:40] ORDER BY turn) AS l FROM conversations GROUP BY 1) SELECT conv_id, array_to_string([i || '. ' || x FOR x, i IN l[1:3]], chr(10)) AS prompt FROM l")
+@query("WITH l AS (SELECT conv_id, list(text ORDER BY turn) AS l FROM conversations GROUP BY 1) SELECT conv_id, array_to_string([i || '. ' || x FOR x, i IN l[1:3]], chr(10)) AS prompt FROM l")
 def prompt_citations(spark, sf):
-    c = t(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 40).alias("p")))).alias("l"))
+    c = t(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("p")))).alias("l"))
     return c.select("conv_id", drafts.prompt_citations(F.transform("l", lambda x: x["p"])).alias("prompt"))
 
 
@@ -135,7 +135,19 @@ def distribution_maps(spark, sf):
     return d.select("user_id", (F.size("counts") > 0).alias("has_types"), F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT user_id, event_id, ts, rn, true AS admitted, NULL::TIMESTAMP AS a1, CAST(ts AS TIMESTAMP) AS a2 FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.ts, e.rn, r.a1 IS NULL OR r.a1 <= CAST(e.ts AS TIMESTAMP) - INTERVAL 1 HOUR,
+    CASE WHEN r.a1 IS NULL OR r.a1 <= CAST(e.ts AS TIMESTAMP) - INTERVAL 1 HOUR THEN r.a2 ELSE r.a1 END,
+    CASE WHEN r.a1 IS NULL OR r.a1 <= CAST(e.ts AS TIMESTAMP) - INTERVAL 1 HOUR THEN CAST(e.ts AS TIMESTAMP) ELSE r.a2 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, event_id, ts, admitted FROM r
+"""
+)
 def admitted_requests(spark, sf):
     return guards.admitted(t(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", 2, 3600)
 
@@ -147,14 +159,8 @@ def body_and_attachment_chunks(spark, sf):
     return chunking.body_and_attachment_chunks(d, p).select("email_id", "chunk_type", "chunk_index", "chunk_uid")
 
 
-@query("SELECT user_id, count(*) AS n FROM (SELECT user_id, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id FROM events WHERE event_id % 3 = 0) GROUP BY user_id")
-def union_all(spark, sf):
-    e = t(spark, sf, "events").select("user_id", "event_id")
-    return e.where("event_id % 2 = 0").unionByName(e.where("event_id % 3 = 0")).groupBy("user_id").agg(F.count("*").alias("n"))
-
-
 @query("SELECT user_id, count(*) AS n FROM (SELECT user_id, event_id FROM events WHERE event_type = 'error' UNION ALL SELECT user_id, event_id FROM events WHERE event_type <> 'error' OR event_type IS NULL) GROUP BY user_id")
-def union_all_types(spark, sf):
+def union_all(spark, sf):
     e = t(spark, sf, "events").select("user_id", "event_id", "event_type")
     failed, others = e.where("event_type = 'error'"), e.where("event_type <> 'error' or event_type is null")
     return failed.unionByName(others).groupBy("user_id").agg(F.count("*").alias("n"))

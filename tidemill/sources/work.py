@@ -9,16 +9,22 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """``df`` checkpointed to ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not at:
-            if not sc.master.startswith("local") or "cluster" in sc.master:
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="tidemill-")
-        sc.setCheckpointDir(at)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not sc.master.startswith("local") or "cluster" in sc.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tidemill-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """``df`` checkpointed to the shared folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.work import cut, ship
+from ..sources.work import cut, folder, ship
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -89,11 +89,26 @@ def event_stream(spark: SparkSession, sf_dir: str, schema: str = EVENTS) -> Data
 
 
 def replay(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Runs a streaming plan over all events that are there now and returns what it wrote."""
-    name = "replay_" + uuid.uuid4().hex
-    q = plan(event_stream(spark, sf_dir)).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a streaming plan over all events that are there now and returns what it wrote.
+
+    Every micro-batch is a table of its own in the shared folder, beside the
+    stream's checkpoint: a batch that is run again after a failure replaces itself.
+    In complete mode the last batch is the result, else all of them are.
+    """
+    at = f"{folder(spark)}/replay-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+        done.append(epoch)
+
+    planned = plan(event_stream(spark, sf_dir))
+    q = planned.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    wanted = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    if not wanted:
+        return spark.createDataFrame([], planned.schema)
+    return spark.read.schema(planned.schema).parquet(*[f"{at}/out/epoch={k}" for k in wanted])
 
 
 def batches_of(stream: DataFrame, size: int, seconds: int, handle: Callable[[DataFrame, int], None]):
