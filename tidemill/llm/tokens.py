@@ -122,6 +122,8 @@ class Encoder:
         self.size = max(self.tok.get_vocab_size(with_added_tokens=True), 1)
         self.kind = "<u2" if bits_for(self.size) <= 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
+        # a simple piece has a blank at its start only, which a byte-level vocabulary writes so
+        self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)])
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -129,19 +131,18 @@ class Encoder:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that were not seen before; simple ones as one text, told apart by their pre-token numbers."""
+        """Ids of pieces that were not seen before; simple ones as one text, told apart by the ids that begin with a blank."""
         out: dict[str, bytes] = {}
         simple, rest = [], []
         for p in new:
             (simple if len(p) <= LONG and _SIMPLE.fullmatch(p) else rest).append(p)
         for s in range(0, len(simple), 5000):
             part = simple[s : s + 5000]
-            e = self.tok.encode("".join(part), add_special_tokens=False)
-            ids, word = np.array(e.ids, self.kind), np.array(e.word_ids, np.int64)
-            if not len(word) or word[-1] + 1 != len(part):
+            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.append(np.flatnonzero(self.opens[ids]), len(ids)).tolist()
+            if len(cut) != len(part) + 1:
                 rest += part
                 continue
-            cut = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
             raw, w = ids.tobytes(), ids.itemsize
             out.update((p, raw[cut[k] * w : cut[k + 1] * w]) for k, p in enumerate(part))
         out.update(zip(rest, self.whole(rest)))
@@ -304,7 +305,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     where = cuts(docs, min(wanted, n), n)
     bits = bits_for(Encoder(tokenizer).size)
     coded = docs.mapInArrow(_encode(tokenizer, spark.sparkContext.broadcast(where), end_id), "doc_id long, shard long, h long, ids binary")
-    placed = coded.repartition(max(1, len(where.ids) + 1), "shard").sortWithinPartitions("shard", "doc_id", "h", "ids")
+    # one shard to a partition
+    placed = coded.repartitionById(len(where.ids) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "h", "ids")
     packed = placed.mapInArrow(tidy(_blocks(bits, block_ids)), "shard long, block long, start long, doc_ids array<long>, lengths array<long>, bits int, payload binary")
     packed.write.mode("overwrite").option("compression", "none").parquet(path)
 
