@@ -132,20 +132,20 @@ def test_tiles_meet_every_pair_of_components(spark):
 
 
 def test_near_dedup_recall_at_the_threshold(spark):
-    """5,000 pairs of similarity 0.75 to 0.80, and as many just below it, all decided as brute force does."""
+    """5,000 pairs of similarity 0.75 to 0.78, and as many just below 0.75, all decided as brute force does."""
     rng = np.random.default_rng(8)
     rows, want = [], {}
-    for k in range(10000):
+    for k in range(10002):
         n = int(rng.integers(40, 90))
         a = [f"p{k}x{j}" for j in range(n + 4)]
-        b = a[int(n * (0.125 if k % 2 else 0.16)) :]
+        b = a[(n // 4 if k % 2 else n // 4 + 1) :]
         both, union = len(b) - 4, n
         rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
         want[2 * k + 1] = 2 * k if 100 * both >= 75 * union else 2 * k + 1
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
     linked = [i for i, c in want.items() if c != i]
-    assert len(linked) >= 5000 and all(got[i] == c for i, c in want.items())
+    assert len(linked) >= 5000 and len(want) - len(linked) >= 2500 and all(got[i] == c for i, c in want.items())
 
 
 # ---------------------------------------------------------------- decontamination
