@@ -71,8 +71,8 @@ def _cell(h: Column, shift: int) -> Column:
 
 def _look(table: Column, place: Column) -> Column:
     k = place.cast("int")
-    a = F.coalesce(F.element_at(table, k + 1), F.lit(0.0))
-    return a + (place - k) * (F.coalesce(F.element_at(table, k + 2), F.lit(0.0)) - a)
+    a = F.coalesce(F.get(table, k), F.lit(0.0))
+    return a + (place - k) * (F.coalesce(F.get(table, k + 1), F.lit(0.0)) - a)
 
 
 def add_samples(rows: DataFrame, first: Column, count: int, weights: list[str]) -> tuple[DataFrame, list[str]]:
@@ -110,7 +110,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(a: Column) -> Column:
     """Eight hexadecimal digits of each sample, all that ``likeness`` compares; empty for an empty text."""
-    return F.coalesce(F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""), F.lit(""))
+    return F.coalesce(F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 8, "0")), "")), F.lit(""))
 
 
 def _place() -> Column:
@@ -118,6 +118,19 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"), F.xxhash64("text").alias("h"))
 
 
+#: Hexadecimal digits of a hash that fit a long.
+_DIGITS = 15
+
+
+def _as_longs(hex64: Column) -> dict[str, Column]:
+    """64 hexadecimal digits as longs, which aggregations hold in place, unlike text."""
+    return {f"s{k}": F.conv(F.substring(hex64, k + 1, _DIGITS), 16, 10).cast("long") for k in range(0, 64, _DIGITS)}
+
+
+def _from_longs() -> Column:
+    return F.concat(*[F.lpad(F.lower(F.hex(f"s{k}")), min(_DIGITS, 64 - k), "0") for k in range(0, 64, _DIGITS)])
+
+
 _PLACE = "struct<k:boolean,i:bigint,h:bigint>"
 
 
@@ -186,28 +199,30 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.when(~F.col("copy"), F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(coalesce(after, ''), cast(floor(length(text) / 2) as int))")))
     rows = rows.select("bucket", "pos", "copy", "doc_id", n.cast("long").alias("n_chars"), F.array("text", edited).alias("texts"))
-    rows = rows.withColumn("sha", F.sha2(F.encode(F.col("texts")[1], "UTF-8"), 256))
-    key = ["bucket", "pos", "copy", "doc_id", "n_chars", "sha"]
-    each = rows.select(*key, F.posexplode("texts").alias("which", "text")).where("text is not null")
-    words = each.select(*key, "which", F.explode(F.split(lower_ascii(F.col("text")), BLANKS)).alias("word"))
+    # the key of a text's rows is two numbers; what else belongs to it is the same in all of them, and numbers too
+    rows = rows.select("bucket", "pos", "copy", "doc_id", "n_chars", "texts", *[c.alias(n) for n, c in _as_longs(F.sha2(F.encode(F.col("texts")[1], "UTF-8"), 256)).items()])
+    key, own = ["bucket", "pos"], ["copy", "doc_id", "n_chars", *[f"s{k}" for k in range(0, 64, _DIGITS)]]
+    kept = [F.min(c).alias(c) for c in own]
+    each = rows.select(*key, *own, F.posexplode("texts").alias("which", "text")).where("text is not null")
+    words = each.select(*key, *own, "which", F.explode(F.split(lower_ascii(F.col("text")), BLANKS)).alias("word"))
     counted = words.groupBy(*key, F.when(F.col("word") != "", F.xxhash64("word")).alias("term")).agg(
-        F.sum(F.when(F.col("which") == 0, 1).otherwise(0)).alias("w0"), F.sum(F.when(F.col("which") == 1, 1).otherwise(0)).alias("w1")
+        *kept, F.sum(F.when(F.col("which") == 0, 1).otherwise(0)).alias("w0"), F.sum(F.when(F.col("which") == 1, 1).otherwise(0)).alias("w1")
     )
     groups = samples // GROUP
-    logged = counted.select(*key, "term", *[F.when(F.col("term").isNotNull() & (F.col(w) > 0), F.ln(F.col(w).cast("double"))).alias(w) for w in ("w0", "w1")])
+    logged = counted.select(*key, *own, "term", *[F.when(F.col("term").isNotNull() & (F.col(w) > 0), F.ln(F.col(w).cast("double"))).alias(w) for w in ("w0", "w1")])
     dealt = logged.withColumn("g", F.explode(F.array(*[F.lit(k) for k in range(groups)])))
     valued, names = add_samples(dealt, F.col("g") * GROUP, GROUP, ["w0", "w1"])
-    least = valued.groupBy(*key, "g").agg(*[F.min(c).alias(c) for c in names])
-    parts_ = least.select(*key, "g", *[F.when(F.col(f"{w}_0").isNotNull(), F.array(*[F.col(f"{w}_{j}").bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(GROUP)])).alias(w) for w in ("w0", "w1")])
-    gathered = parts_.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("g", "w0", "w1"))).alias("all"))
+    least = valued.groupBy(*key, "g").agg(*kept, *[F.min(c).alias(c) for c in names])
+    parts_ = least.select(*key, *own, "g", *[F.when(F.col(f"{w}_0").isNotNull(), F.array(*[F.col(f"{w}_{j}").bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(GROUP)])).alias(w) for w in ("w0", "w1")])
+    gathered = parts_.groupBy(*key).agg(*kept, F.sort_array(F.collect_list(F.struct("g", "w0", "w1"))).alias("all"))
     # concat is null when any of its parts is: all are, or none
-    sigs = gathered.select(*key, F.concat(*[F.col("all")[k]["w0"] for k in range(groups)]).alias("sig"), F.concat(*[F.col("all")[k]["w1"] for k in range(groups)]).alias("edited_sig"))
+    sigs = gathered.select(*key, *own, F.concat(*[F.col("all")[k]["w0"] for k in range(groups)]).alias("sig"), F.concat(*[F.col("all")[k]["w1"] for k in range(groups)]).alias("edited_sig"))
     after = Window.partitionBy("bucket").orderBy("pos")
     out = sigs.withColumn("next_sig", F.lead("sig").over(after)).where("not copy")
     return out.select(
         "doc_id",
         "n_chars",
-        F.col("sha").alias("edited_sha256"),
+        _from_longs().alias("edited_sha256"),
         as_text(F.col("sig")).alias("fingerprint"),
         as_text(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
