@@ -238,7 +238,7 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
 
 
 def test_daily_cost_covers_every_event(spark):
-    got = catalog.QUERIES["daily_cost_guard_all"](spark, SF)
+    got = catalog.QUERIES["daily_cost_guard"](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
     assert {r.allowed for r in got.select("allowed").distinct().collect()} == {True, False}
 
@@ -276,4 +276,4 @@ def test_minhash_has_128_permutations(spark):
 
 def test_union_covers_every_event(spark):
     total = spark.read.parquet(f"{SF}/events.parquet").count()
-    assert catalog.QUERIES["union_all_types"](spark, SF).agg(F.sum("n")).first()[0] == total
+    assert catalog.QUERIES["union_all"](spark, SF).agg(F.sum("n")).first()[0] == total
