@@ -79,6 +79,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op13_verbatim_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeats
+
+    return repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op13_verbatim_repeats": op13_verbatim_repeats,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
