@@ -79,6 +79,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import aligned
+
+    return aligned(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_verbatim_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import repeats
 
@@ -96,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
     "op13_verbatim_repeats": op13_verbatim_repeats,
 }
 
@@ -168,3 +182,52 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN be
 
 
 ORACLE_SQL["op8_license_scan"] = _license_sql()
+
+
+ORACLE_SQL["op12_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, size, list_slice(w, k, k + size - 1) AS g, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM w, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size)
+  GROUP BY ALL HAVING count(*) >= 100),
+longer AS (
+  SELECT lang, g, max(f) AS up
+  FROM (SELECT lang, f, list_slice(g, k, k + short - 1) AS g
+        FROM (SELECT lang, f, g, short, unnest(range(1, size - short + 2)) AS k FROM f, (SELECT unnest(range(2, 5)) AS short) WHERE size > short))
+  GROUP BY lang, g),
+own AS (SELECT f.lang, f.g, f.size, f.f FROM f LEFT JOIN longer USING (lang, g) WHERE f.size > 1 AND (up IS NULL OR 100 * up < 100 * f.f)),
+cuts AS (
+  SELECT o.lang, o.g, o.f AS a, k, x.f AS l, y.f AS r, totals.n,
+         CAST((CAST(1000 AS HUGEINT) * o.f * totals.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM own) o
+  JOIN f x ON x.lang = o.lang AND x.g = list_slice(o.g, 1, k)
+  JOIN f y ON y.lang = o.lang AND y.g = list_slice(o.g, k + 1, o.size)
+  JOIN totals ON totals.lang = o.lang),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS i FROM cuts) WHERE i = 1),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank,
+         array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM weakest)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+# byte b of a text is hexadecimal digits 2b + 1 and 2b + 2
+ORACLE_SQL["op13_verbatim_repeats"] = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS i, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (SELECT i, b, substr(x, 2000 * b + 1, 2398) AS y FROM (SELECT i, x, unnest(range(0, len(x) // 2000 + 1)) AS b FROM d)),
+starts AS (SELECT i, 1000 * b + q AS p, md5(substr(y, 2 * q + 1, 400)) AS s FROM (SELECT i, b, y, unnest(range(0, least(1000, len(y) // 2 - 199))) AS q FROM blocks)),
+again AS (SELECT i, p FROM (SELECT i, p, count(*) OVER (PARTITION BY s) AS c FROM starts) WHERE c > 1),
+marked AS (SELECT i, p, CASE WHEN p - lag(p) OVER (PARTITION BY i ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT i, p, sum(new) OVER (PARTITION BY i ORDER BY p) AS k FROM marked),
+spans AS (SELECT i, k, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY i, k),
+gaps AS (
+  SELECT i, a, b, lag(b, 1, 0) OVER (PARTITION BY i ORDER BY a) AS before FROM spans),
+sums AS (
+  SELECT d.i, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last
+  FROM gaps JOIN d USING (i) GROUP BY d.i)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN sums USING (i)
+"""
