@@ -437,6 +437,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, texts: bool
     check = F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("check")
     # equal texts have equal places, which a set keeps once, on the map side too
     by_text = places.groupBy("d", check).agg(F.collect_set(F.struct("place", "h", "s")).alias("places"))
+    by_text = work.table(by_text, "by_text")  # read back, so that the join can split a text with many copies
     cut = long.join(by_text, ["d", "check"]).select("text", "places").mapInArrow(_cut_segments(length), "h long, s long, before int, bytes binary, n long")
     rows = work.table(cut.groupBy("h", "s", "before", "bytes").agg(F.sum("n").alias("n")), "segments")
     fit, links = _settle(0, rows, work, length, core, limit)
@@ -451,6 +452,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, texts: bool
         at = at.unionByName(found)
     run = F.explode(F.expr("transform(runs, x -> x + shiftleft(shiftright(place, 32), 32))")).alias("run")
     covered = places.join(at, ["h", "s"]).select("d", check, run).groupBy("d", "check").agg(F.collect_set("run").alias("runs"))
+    covered = work.table(covered, "covered")
     all_rows = docs.select("doc_id", "text", *_keys(F.col("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = all_rows.join(covered, ["d", "check"], "left").select("doc_id", "text", "runs")
