@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tidemill.functions import numbers as N
 from tidemill.functions import text as X
 from tidemill.operators import attachments, chunking, dedup, drafts, fusion, hybrid, metrics, normalize, search, threading
-from tidemill.plans import catalog, more, retrieval  # noqa: F401
+from tidemill.plans import catalog, more, retrieval, stateful  # noqa: F401
 from tidemill.sources import messages, storage
 from tidemill.streaming import guards
 

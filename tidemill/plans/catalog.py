@@ -936,7 +936,7 @@ def stream_tumbling(spark, sf):
 def stream_dedup(spark, sf):
     from ..streaming import guards
 
-    return guards.replay(spark, sf, lambda e: e.select("user_id", "event_type").dropDuplicates(), "append")
+    return guards.replay(spark, sf, lambda e: guards.distinct_stream(e, ["user_id", "event_type"], "ts", "30 days").select("user_id", "event_type"), "append")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.work import cut, folder, ship
+from ..sources.work import cut, ship
+from . import resume
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -48,9 +50,10 @@ def admitted(events: DataFrame, key: str, limit: int, seconds: int = 60) -> Data
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "event_id"])
-        recent, ok = [], []
+        recent, ok, span = deque(), [], pd.Timedelta(seconds=seconds)
         for at in pdf["ts"]:
-            recent = [x for x in recent if x > at - pd.Timedelta(seconds=seconds)]
+            while recent and recent[0] <= at - span:
+                recent.popleft()
             ok.append(len(recent) < limit)
             if ok[-1]:
                 recent.append(at)
@@ -89,36 +92,16 @@ def event_stream(spark: SparkSession, sf_dir: str, schema: str = EVENTS) -> Data
 
 
 def replay(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Runs a streaming plan over all events that are there now and returns what it wrote.
-
-    Every micro-batch is a table of its own in the shared folder, beside the
-    stream's checkpoint: a batch that is run again after a failure replaces itself.
-    In complete mode the last batch is the result, else all of them are.
-    """
-    at = f"{folder(spark)}/replay-{uuid.uuid4().hex}"
-    done: list[int] = []
-
-    def write(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
-        done.append(epoch)
-
+    """Runs a streaming plan over all events that are there now and returns what it wrote."""
+    name = f"replay-{uuid.uuid4().hex}"
     planned = plan(event_stream(spark, sf_dir))
-    q = planned.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start()
-    q.awaitTermination()
-    wanted = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
-    if not wanted:
-        return spark.createDataFrame([], planned.schema)
-    return spark.read.schema(planned.schema).parquet(*[f"{at}/out/epoch={k}" for k in wanted])
-
-
-def batches_of(stream: DataFrame, size: int, seconds: int, handle: Callable[[DataFrame, int], None]):
-    """Hands over micro-batches by time, cut to ``size`` jobs each by a batch number."""
+    resume.advance(name, planned, mode)
+    return resume.written(spark, name, planned.schema, mode)
 
-    def each(df: DataFrame, epoch: int) -> None:
-        w = Window.partitionBy(F.lit(0)).orderBy("event_id")
-        handle(df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size)), epoch)
 
-    return stream.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(each)
+def distinct_stream(events: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
+    """The first event of each key; a key is forgotten when the watermark passes its first event by ``ttl``."""
+    return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
 def client_ip(forwarded: Column, real: Column, peer: Column) -> Column:
