@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import threading, workflow
+from ..sources import versions
 from ..sources.work import folder
 from ..streaming import batcher, guards, resume, retries
 from .catalog import query, t
@@ -94,3 +96,120 @@ def stream_resumed(spark, sf):
             raise
     resume.advance(name, stream())
     return resume.written(spark, name, stream().schema)
+
+
+# ---------------------------------------------------------------- threads
+#: Messages of three tenants: replies and references to other messages, some of them later, in another tenant or unknown; subjects that come again.
+_MAIL = """
+m AS (
+  SELECT user_id % 3 AS tenant_id, event_id AS seq, 'm' || event_id AS message_id, ts AS date,
+    CASE WHEN event_id % 4 = 1 THEN 'm' || event_id * 7919 % (event_id + 50) END AS in_reply_to,
+    CASE WHEN event_id % 4 = 2 THEN ['m' || event_id * 31 % (event_id + 200), 'm' || event_id * 17 % (event_id + 20)] ELSE [] END AS refs,
+    CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 2 = 1 THEN 'Re: Topic ' || event_id % 400 ELSE 'Topic ' || event_id % 400 END AS subject FROM events)"""
+_THREADS = f"""{_MAIL},
+looks AS (
+  SELECT tenant_id, seq, message_id, 0 AS k, in_reply_to AS target FROM m WHERE in_reply_to IS NOT NULL
+  UNION ALL SELECT tenant_id, seq, message_id, 1, refs[1] FROM m WHERE len(refs) > 0
+  UNION ALL SELECT tenant_id, seq, message_id, 2, refs[2] FROM m WHERE len(refs) > 0),
+links AS (SELECT l.tenant_id, l.message_id, arg_min(l.target, k) AS up FROM looks l JOIN m ON m.tenant_id = l.tenant_id AND m.message_id = l.target AND m.seq < l.seq GROUP BY ALL),
+alone AS (SELECT *, CASE WHEN subject <> '' THEN regexp_replace(lower(subject), '^re: ', '') END AS topic FROM m ANTI JOIN links USING (tenant_id, message_id)),
+up AS (
+  SELECT tenant_id, message_id, up FROM links
+  UNION ALL SELECT tenant_id, message_id, CASE WHEN topic IS NULL THEN message_id ELSE first_value(message_id) OVER (PARTITION BY tenant_id, topic ORDER BY seq) END FROM alone),
+walk AS (
+  SELECT tenant_id, message_id, up FROM up
+  UNION ALL SELECT w.tenant_id, w.message_id, u.up FROM walk w JOIN up u ON u.tenant_id = w.tenant_id AND u.message_id = w.up WHERE u.up <> w.up),
+a AS (SELECT w.tenant_id, m.seq, w.message_id, w.up AS thread_root FROM walk w JOIN up u ON u.tenant_id = w.tenant_id AND u.message_id = w.up AND u.up = u.message_id JOIN m ON m.tenant_id = w.tenant_id AND m.message_id = w.message_id),
+i AS (
+  SELECT tenant_id, thread_root, count(*) AS email_count, arg_min(date, seq) AS first_date, arg_max(date, seq) AS last_date, arg_min(subject, seq) AS s,
+    CASE WHEN count(*) FILTER (in_reply_to IS NOT NULL AND m.message_id <> thread_root) > 0 THEN 2 ELSE 1 END AS depth, count(*) AS breadth
+  FROM a JOIN m USING (tenant_id, seq) GROUP BY ALL),
+info AS (SELECT * EXCLUDE (s), CASE WHEN s = '' THEN 'no_subject' ELSE regexp_replace(lower(s), '^re: ', '') END AS subject_norm FROM i)"""
+
+
+def _mail(spark, sf):
+    e = F.col("event_id")
+    m = lambda n: F.concat(F.lit("m"), n.cast("string"))
+    topic = F.concat(F.lit("Topic "), (e % 400).cast("string"))
+    return t(spark, sf, "events").select(
+        (F.col("user_id") % 3).alias("tenant_id"), e.alias("seq"), m(e).alias("message_id"), F.col("ts").alias("date"), F.when(e % 4 == 1, m(e * 7919 % (e + 50))).alias("in_reply_to"),
+        F.when(e % 4 == 2, F.array(m(e * 31 % (e + 200)), m(e * 17 % (e + 20)))).otherwise(F.array().cast("array<string>")).alias("refs"),
+        F.when(e % 11 == 0, "").when(e % 2 == 1, F.concat(F.lit("Re: "), topic)).otherwise(topic).alias("subject"),
+    )
+
+
+@query(f"WITH RECURSIVE {_THREADS} SELECT tenant_id, seq, message_id, thread_root FROM a")
+def thread_links(spark, sf):
+    return threading.assign(_mail(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_THREADS} SELECT * FROM info")
+def thread_details(spark, sf):
+    m = _mail(spark, sf)
+    return threading.thread_info(threading.assign(m), m)
+
+
+@query(f"WITH RECURSIVE {_THREADS} SELECT tenant_id, thread_root, email_count, 'subject' AS found_by FROM info WHERE subject_norm = 'topic ' || tenant_id UNION ALL SELECT DISTINCT tenant_id, thread_root, email_count, a.message_id FROM a JOIN info USING (tenant_id, thread_root) WHERE seq % 97 = 1")
+def thread_lookup(spark, sf):
+    m = _mail(spark, sf)
+    assigned = threading.assign(m)
+    info = threading.thread_info(assigned, m)
+    subjects = m.select("tenant_id", F.concat(F.lit("FW: TOPIC  "), F.col("tenant_id").cast("string")).alias("subject")).distinct()
+    by_subject = threading.threads_by_subject(info, subjects).select("tenant_id", "thread_root", "email_count", F.lit("subject").alias("found_by"))
+    by_message = threading.thread_by_message(info, assigned, m.where("seq % 97 = 1"))
+    return by_subject.unionByName(by_message.select("tenant_id", "thread_root", "email_count", F.col("message_id").alias("found_by")))
+
+
+# ---------------------------------------------------------------- versions, benchmarks, attachments
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def index_versions(spark, sf):
+    """Counts of half the events, then of all, each a version; the alias is switched to the second and the first is dropped."""
+    store = versions.Store(spark, f"index-{uuid.uuid4().hex}")
+    counts = lambda e: e.groupBy("event_type").agg(F.count("*").alias("n"))
+    e = t(spark, sf, "events").select("event_id", "event_type")
+    store.create("counts", counts(e).schema)
+    for part in (e.where("event_id % 2 = 0"), e):
+        store.switch("counts", store.write("counts", counts(part)))
+    store.retain("counts", 1)
+    return store.read("counts")
+
+
+@query("SELECT CAST(run AS INTEGER) AS run, event_type, round(avg(value), 9) AS mean FROM events, (SELECT unnest([1, 2]) AS run) WHERE event_id % (run + 1) = 0 GROUP BY ALL")
+def benchmark_runs(spark, sf):
+    """Three runs are saved; the two newest are read."""
+    runs = versions.Benchmarks(spark, f"bench-{uuid.uuid4().hex}")
+    for k in (1, 2, 3):
+        runs.save(t(spark, sf, "events").where(F.col("event_id") % k == 0).groupBy("event_type").agg(F.round(F.avg("value"), 9).alias("mean")))
+    return runs.recent(2)
+
+
+@query(
+    r"""
+WITH p AS (
+  SELECT page_id, html, length(html) AS size_bytes,
+    CASE page_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'application/zip' ELSE 'text/html' END AS mimetype,
+    CASE WHEN page_id % 6 NOT IN (0, 2, 3) THEN html END AS native_text FROM pages),
+v AS (SELECT *, mimetype <> 'application/zip' AND size_bytes <= 3000 AS ok, regexp_replace(native_text, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g') AS s FROM p),
+n AS (SELECT *, CASE WHEN ok THEN mimetype = 'image/png' OR native_text IS NULL OR length(s) < 50 OR (length(s) - length(regexp_replace(s, '[\p{L}\p{N} \t\n\r\f\x0B]', '', 'g'))) / greatest(1, length(s)) < 0.7 END AS needs_ocr FROM v),
+o AS (SELECT *, CASE WHEN needs_ocr THEN least(page_id % 5 + 1, 3) END AS attempts, CASE WHEN needs_ocr AND page_id % 5 < 3 THEN 'page ' || page_id || ' password' END AS ocr_text FROM n),
+f AS (SELECT *, coalesce(ocr_text, CASE WHEN ok AND NOT needs_ocr THEN native_text END) AS text, CASE WHEN mimetype = 'application/zip' THEN 'Unsupported mimetype: application/zip' WHEN NOT ok THEN 'Invalid attachment' WHEN needs_ocr AND ocr_text IS NULL THEN 'OCR failed' END AS error FROM o)
+SELECT page_id, CASE WHEN error IS NOT NULL THEN 'workflow_failed' ELSE 'workflow_completed' END AS current_step, coalesce(needs_ocr, false) AS needs_ocr, CAST(coalesce(attempts, 0) AS INTEGER) AS attempts, error AS error_message, error IS NOT NULL AS quarantined,
+  CASE WHEN text IS NOT NULL THEN 't/emails/' || page_id || '/attachments/' || url_name || '/text' END AS storage_key,
+  CASE WHEN text IS NOT NULL THEN concat_ws(',', CASE WHEN contains(lower(text), 'password') THEN 'potential_password_exposure' END, CASE WHEN contains(lower(text), 'credit_card') THEN 'potential_credit_card_exposure' END, CASE WHEN contains(lower(text), 'ssn') THEN 'potential_ssn_exposure' END, CASE WHEN contains(lower(text), 'api_key') THEN 'potential_api_key_exposure' END, CASE WHEN regexp_matches(text, '\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b') THEN 'potential_credit_card_exposure' END, CASE WHEN length(text) > 10000 THEN 'content_too_large' END) END AS checks,
+  CASE WHEN NOT ok THEN 'attachment_rejected,extraction_skipped,ocr_not_needed,ocr_skipped,storage_skipped,compliance_skipped,workflow_failed'
+    WHEN needs_ocr THEN 'attachment_validated,' || CASE WHEN mimetype = 'image/png' THEN 'ocr_required' ELSE 'ocr_fallback' END || ',ocr_required,' || CASE WHEN ocr_text IS NULL THEN 'ocr_failed,storage_skipped,compliance_skipped,workflow_failed' ELSE 'ocr_completed,storage_completed,compliance_checked,workflow_completed' END
+    ELSE 'attachment_validated,text_extracted,ocr_not_needed,ocr_skipped,storage_completed,compliance_checked,workflow_completed' END AS steps
+FROM (SELECT *, 'f' || page_id % 10 AS url_name FROM f)
+"""
+)
+def attachment_workflow(spark, sf):
+    k = F.col("page_id") % 6
+    kind = F.when(k == 0, "image/png").when(k == 1, "text/plain").when(k == 2, "application/pdf").when(k == 3, "application/zip").otherwise("text/html")
+    tasks = t(spark, sf, "pages").select(
+        "page_id", F.lit("t").alias("tenant_id"), F.col("page_id").cast("string").alias("email_id"), F.concat(F.lit("f"), (F.col("page_id") % 10).cast("string")).alias("filename"), kind.alias("mimetype"),
+        F.length("html").alias("size_bytes"), F.when(~k.isin(0, 2, 3), F.col("html")).alias("native_text"),
+    )
+    # recognition fails as often as the rest of the page's number by 5
+    read = lambda n: F.when(n > F.col("page_id") % 5, F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" password")))
+    done = workflow.process(tasks, read, largest=3000)
+    return done.select("page_id", "current_step", F.coalesce("needs_ocr", F.lit(False)).alias("needs_ocr"), F.coalesce("attempts", F.lit(0)).alias("attempts"), "error_message", "quarantined", "storage_key", F.array_join("compliance_checks", ",").alias("checks"), F.array_join("steps", ",").alias("steps"))
