@@ -114,7 +114,7 @@ class PieceTokens:
         if not self.wordwise:
             return self.whole(texts)
         # what follows a word's first space; a space that ends a text, or stands between spaces, is part of the run
-        words = [_WORDS.findall(t) for t in texts]
+        words = [[t] if "▁" in t else _WORDS.findall(t) for t in texts]  # the model takes that character for a space
         new = sorted({w for ws in words for w in ws if w not in self.known and w not in self.fixed})
         got = dict(zip(new, self.whole(new)))
         look = self.fixed | got

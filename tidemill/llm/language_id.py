@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import U64, buffer_of, lower, mix, shards, ship, tidy
 
@@ -24,6 +25,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 10
 #: Bounds of the training sample: documents, and windows of each.
 SAMPLE_DOCS = 3000
+#: Training documents of each language, at least, as far as there are so many.
+LEAST_DOCS = 50
 SAMPLE_WINDOWS = 4
 #: Windows handled at once.
 CHUNK = 2048
@@ -195,17 +198,19 @@ def _take_windows(window: int, each: int):
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, seed: int = 1) -> ByteCnn:
-    """Trains on at most ``sample_docs`` different rows of ``labelled`` (doc_id, text, lang), the first by a hash of doc_id and text.
+    """Trains on ``sample_docs`` different rows of ``labelled`` (doc_id, text, lang), the first by a hash of doc_id and text, and on ``LEAST_DOCS`` of each language at least.
 
-    Null langs and null or empty texts teach nothing; repeats of a chosen row count
-    once, so reruns learn the same.
+    Null langs and null or empty texts teach nothing; repeats of a row count once,
+    before rows are chosen, so reruns learn the same and no language is crowded out.
     """
     ship(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null and length(text) > 0").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"))
-    top = rows.select("h", "lang").orderBy("h", "lang").limit(sample_docs).distinct()
-    # at most sample_docs rows
-    some = rows.join(F.broadcast(top), ["h", "lang"]).dropDuplicates(["h", "lang"])
+    different = rows.select("h", "lang").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    few = different.withColumn("_nth", nth).where(F.col("_nth") <= LEAST_DOCS).drop("_nth")
+    top = different.orderBy("h", "lang").limit(sample_docs).unionByName(few).distinct()
+    some = rows.join(top, ["h", "lang"]).dropDuplicates(["h", "lang"])
     pieces = some.select("lang", "text").mapInArrow(_take_windows(WINDOW, sample_windows), "lang string, piece binary")
     got = sorted((r["lang"], bytes(r["piece"])) for r in pieces.collect())
     classes = sorted({r[0] for r in got})
