@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import nearest_rank
+from .ranks import nearest, values_at
 
 
 def mark_used(citations: DataFrame, used: DataFrame) -> DataFrame:
@@ -16,13 +16,12 @@ def mark_used(citations: DataFrame, used: DataFrame) -> DataFrame:
 
 def export_trace(steps: DataFrame, citations: DataFrame) -> DataFrame:
     """By workflow: steps, total and nearest-rank 95th percentile of positive durations, failures, used share of citations."""
-    s = steps.groupBy("workflow_id").agg(
-        F.count("*").alias("steps"), F.sum("duration_ms").alias("total_ms"), F.collect_list(F.when(F.col("duration_ms") > 0, F.col("duration_ms"))).alias("v"), F.count_if(F.col("status") == "failed").alias("failures")
-    )
+    s = steps.groupBy("workflow_id").agg(F.count("*").alias("steps"), F.sum("duration_ms").alias("total_ms"), F.count_if(F.col("status") == "failed").alias("failures"))
+    p95 = values_at(steps.where("duration_ms > 0"), ["workflow_id"], "duration_ms", {"p95_ms": nearest(0.95)}).drop("n")
     c = citations.groupBy("workflow_id").agg(F.count("*").alias("citations"), F.count_if("used").alias("used"))
-    out = s.join(c, "workflow_id", "left")
+    out = s.join(p95, "workflow_id", "left").join(c, "workflow_id", "left")
     hit = F.when(F.coalesce("citations", F.lit(0)) > 0, F.col("used") / F.col("citations")).otherwise(0.0)
-    return out.select("workflow_id", "steps", "total_ms", nearest_rank(F.col("v"), 0.95).alias("p95_ms"), "failures", hit.alias("retrieval_hit_k"))
+    return out.select("workflow_id", "steps", "total_ms", F.coalesce("p95_ms", F.lit(0.0)).alias("p95_ms"), "failures", hit.alias("retrieval_hit_k"))
 
 
 def update_metrics(values: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import hit_at, ndcg_linear, precision_recall_f1, reciprocal_rank
-from .ranks import exclusive, nearest, values_at
+from .ranks import exclusive, linear, nearest, values_at
 
 # Lengths of the time windows in hours; anything else is a day.
 WINDOWS = {"1h": 1, "24h": 24, "7d": 168, "30d": 720}
@@ -149,7 +149,9 @@ def ocr_latency_p95(times: DataFrame, group: list[str], col: str) -> DataFrame:
 
 
 def linear_p95(times: DataFrame, group: list[str], col: str) -> DataFrame:
-    return times.groupBy(*group).agg(F.expr(f"percentile({col}, 0.95)").alias("p95"))
+    groups = times.select(*group).distinct()
+    out = groups.alias("g").join(values_at(times, group, col, {"p95": linear(0.95)}).alias("r"), _same(group), "left")
+    return out.select(*[F.col(f"g.{c}") for c in group], "p95")
 
 
 def long_format(summary: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import cosine
 from ..functions.text import snippet, strip, word_list, words
+from ..sources.work import ship
 
 # The default English stop list of common text analyzers.
 ANALYZER_STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -21,6 +24,8 @@ GENERIC = ["the", "and", "or", "but", "in", "on", "at", "to", "for"]
 BOOSTS = {"subject": 2.0, "content": 1.0, "from_addr": 1.5, "to_addrs": 0.8}
 #: Rows of the query side up to which it is broadcast, after counting.
 QUERY_ROWS = 100_000
+#: Bytes of query texts that go to the tasks together.
+QUERY_BYTES = 16 << 20
 
 
 def analyze(c: Column) -> Column:
@@ -79,17 +84,28 @@ def optimized_query(docs: DataFrame, query: str, id_col: str, fields: dict[str,
     return docs.where(every >= need).select(id_col, (best + 0.5 * phrase).alias("score"))
 
 
+def deletions(word: Column, most: Column) -> Column:
+    """The word, and what is left of it without one or two of its characters, as far as ``most`` allows."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    one = F.when((most >= 1) & (F.length(word) > 0), without(word)).otherwise(F.array().cast("array<string>"))
+    two = F.when(most >= 2, F.flatten(F.transform(one, lambda w: F.when(F.length(w) > 0, without(w)).otherwise(F.array().cast("array<string>"))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(word), one, two))
+
+
 def fuzzy_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     """Vocabulary words near each query term: no, one or two edits for up to 2, up to 5, and more letters.
 
-    Words within d edits differ in length by at most d, so the join is an equi-join
-    on length after each term is dealt to the lengths it can meet.
+    Two words within d edits leave a common rest when at most d characters are
+    deleted from each, so the join is an equi-join on the rests, whose number grows
+    with a word's length only; edits are then counted.
     """
     allowed = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
-    t = terms.select("term", allowed.alias("allowed"))
-    t = t.select("term", "allowed", F.explode(F.sequence(F.length("term") - F.col("allowed"), F.length("term") + F.col("allowed"))).alias("size"))
-    v = vocabulary.select("word", F.length("word").alias("size"))
-    near = v.join(F.broadcast(t) if t.count() <= QUERY_ROWS else t, "size")
+    t = terms.select("term", allowed.alias("allowed")).distinct()
+    t = t.select("term", "allowed", F.explode(deletions(F.col("term"), F.col("allowed"))).alias("rest"))
+    # one edit needs a term of three letters or more, two need one of six; a word may be that much shorter
+    most = F.when(F.length("word") >= 4, 2).when(F.length("word") >= 2, 1).otherwise(0)
+    v = vocabulary.select("word").distinct().select("word", F.explode(deletions(F.col("word"), most)).alias("rest"))
+    near = v.join(t, "rest").select("term", "word", "allowed").distinct()
     near = near.withColumn("edits", F.levenshtein("word", "term", 2))
     return near.where((F.col("edits") >= 0) & (F.col("edits") <= F.col("allowed"))).select("term", "word", "edits")
 
@@ -148,13 +164,69 @@ def date_range_facet(rows: DataFrame, col: str, now: str) -> DataFrame:
     return rows.agg(age(1, 0).alias("last_day"), age(7, 1).alias("last_week"), age(30, 7).alias("last_month"))
 
 
-def text_search(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, newest: str, k: int = 10) -> DataFrame:
-    """Case-insensitive substring search: the k newest matches of every query, .9 at the start of a text, else .7; by score."""
-    q = queries.select("query_id", F.lower("query").alias("ql"))
-    q = F.broadcast(q) if q.count() <= QUERY_ROWS else q
-    low = F.lower(F.col(text_col))
-    hits = chunks.join(q, low.contains(F.col("ql"))).select("query_id", F.col(id_col), F.col(newest), F.when(low.startswith(F.col("ql")), 0.9).otherwise(0.7).alias("score"))
-    hits = top_k(hits, "query_id", [F.col(newest).desc(), F.col(id_col)], k).drop("rank")
+def _substrings(sent):
+    """(query_id, row, start) of every query that a text holds, by one automaton over all queries."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for text, ids in sent.value:
+            auto.add_word(text, (len(text), ids))
+        auto.make_automaton()
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                row, query, start = [], [], []
+                for n, text in enumerate(part.column("_low").to_pylist()):
+                    found: dict = {}
+                    for end, (size, ids) in auto.iter(text or ""):
+                        first = end == size - 1
+                        for q in ids:
+                            found[q] = first or found.get(q, False)
+                    row += [n] * len(found)
+                    query += found.keys()
+                    start += found.values()
+                kept = [part.column(c).take(pa.array(row, pa.int64())) for c in b.schema.names if c != "_low"]
+                yield pa.record_batch([pa.array(query, pa.int64()), *kept, pa.array(start, pa.bool_())], names=["_q", *[c for c in b.schema.names if c != "_low"], "_first"])
+
+    return run
+
+
+def text_search(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, newest: str, k: int = 10, block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Case-insensitive substring search: the k newest matches of every query, .9 at the start of a text, else .7; by score.
+
+    The queries are the stated query set: they are read in blocks of
+    ``block_bytes``, each an automaton that passes over every text once, however many
+    queries it holds.  An empty query is found in every text; a null one, and a null
+    text, in none.
+    """
+    spark = chunks.sparkSession
+    ship(spark)
+    q = queries.select("query_id", F.lower("query").alias("ql")).where("ql is not null")
+    texts = q.where("ql <> ''").groupBy("ql").agg(F.collect_set("query_id").alias("ids"))
+    total = texts.agg(F.sum(F.octet_length("ql") + 8 * F.size("ids"))).first()[0] or 0
+    blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in dict.fromkeys([id_col, newest])}
+    rows = chunks.where(F.col(text_col).isNotNull()).select(*kinds, F.lower(F.col(text_col)).alias("_low"))
+    id_kind = queries.schema["query_id"].dataType
+    parts = []
+    for n in range(blocks):
+        block = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("ql"), F.lit(blocks)) == n)
+        got = [(r["ql"], r["ids"]) for r in block.collect()]
+        if not got:
+            continue
+        names = sorted({x for _, ids in got for x in ids})
+        number = {x: i for i, x in enumerate(names)}
+        sent = spark.sparkContext.broadcast([(t, [number[x] for x in ids]) for t, ids in got])
+        hits = rows.mapInArrow(_substrings(sent), ", ".join(["_q long", *[f"`{c}` {x}" for c, x in kinds.items()], "_first boolean"]))
+        back = spark.createDataFrame(list(enumerate(names)), f"_q long, query_id {id_kind.simpleString()}")
+        hits = hits.join(F.broadcast(back), "_q").select("query_id", *kinds, F.when(F.col("_first"), 0.9).otherwise(0.7).alias("score"))
+        parts.append(top_k(hits, "query_id", [F.col(newest).desc(), F.col(id_col)], k).drop("rank"))
+    # the newest texts of all are the hits of an empty query
+    latest = rows.orderBy(F.col(newest).desc(), F.col(id_col)).limit(k).select(*kinds, F.lit(0.9).alias("score"))
+    parts.append(q.where("ql = ''").select("query_id").join(F.broadcast(latest)))
+    hits = reduce(DataFrame.unionByName, parts)
     return top_k(hits, "query_id", [F.col("score").desc(), F.col(newest).desc(), F.col(id_col)], k)
 
 
