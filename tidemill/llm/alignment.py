@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, buffer_of, shards, ship, tidy
+from .common import SHARD_BYTES, Work, buffer_of, shards, ship, tidy
 from .tokens import CACHE_BYTES, LONG, OVERHEAD, Encoder, default_tokenizer
 
 #: Pairs that go to the tasks by broadcast, 16 bytes each.
@@ -202,7 +202,7 @@ def _links(a_path: str, b_path: str, groups: bool):
         one, two = coders(a_path, b_path)
         for whole in batches:
             _, bounds = buffer_of(whole.column("text"))
-            for i, j in shards(bounds, 2 << 20):
+            for i, j in shards(bounds, SHARD_BYTES // 2):
                 batch = whole.slice(i, j - i)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 spaced = [" " + t if t else "" for t in texts]
