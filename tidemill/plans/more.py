@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import attachments, audit, chunking, dedup, drafts, jobs, metrics, search, threading
 from ..sources import checkpoints, messages
 from ..streaming import guards
-from .catalog import _ANALYZE, _JOBS, _PERF_SQL, _SCORES_SQL, _jobs, _list, _performance, _scores, _thread_messages, query, t
+from .catalog import _ANALYZE, _CHUNK_SQL, _JOBS, _VISIBLE, _PERF_SQL, _SCORES_SQL, _jobs, _list, _performance, _scores, _thread_messages, query, t
 
 
 @query(f"SELECT priority, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM ({_JOBS}) GROUP BY priority")
@@ -152,7 +152,14 @@ def admitted_requests(spark, sf):
     return guards.admitted(t(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", 2, 3600)
 
 
-@query()
+_BOTH = _CHUNK_SQL.replace("FROM documents)", "FROM bodies)").replace("SELECT doc_id, ", "SELECT doc_id, kind, ").replace("PARTITION BY doc_id", "PARTITION BY doc_id, kind")
+
+
+@query(
+    f"""WITH RECURSIVE bodies AS (SELECT doc_id, 'text' AS kind, text FROM documents UNION ALL SELECT page_id, 'attachment', {_VISIBLE} FROM pages WHERE length({_VISIBLE}) > 0),
+{_BOTH.replace('RECURSIVE ', '')}
+SELECT doc_id AS email_id, kind AS chunk_type, CAST(chunk_index AS INTEGER) AS chunk_index, doc_id || '_' || chunk_index || '_' || sha256(content)[1:8] AS chunk_uid FROM chunks"""
+)
 def body_and_attachment_chunks(spark, sf):
     d = t(spark, sf, "documents").select(F.col("doc_id").alias("email_id"), "text")
     p = t(spark, sf, "pages").select(F.col("page_id").alias("email_id"), X.visible_text(F.col("html")).alias("text"))
@@ -212,7 +219,7 @@ def checkpoint_progress(spark, sf):
     return c.select("batch_id", "processed_emails", "failed_emails", "last_processed_email", "is_complete")
 
 
-@query()
+@query("SELECT doc_id AS chunk_id, 'completed' AS status, 64 AS dims FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def embed_jobs(spark, sf):
     d = t(spark, sf, "documents").select(F.lit("t").alias("tenant_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("email_id"), F.col("text").alias("content"))
     new = jobs.enqueue(d, t(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id")), F.lit("2024-01-01").cast("timestamp"))
