@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,6 +149,24 @@ def evaluate(drafts: DataFrame, text: str, ground: Column) -> DataFrame:
     return out.withColumn("below", below).withColumn("passed", F.size("below") == 0)
 
 
+# Weights and advice of the evaluation service.
+SERVICE_WEIGHTS = {"grounding": 0.3, "completeness": 0.3, "tone": 0.2, "policy": 0.2}
+SERVICE_ADVICE = {
+    "grounding": "Improve factual grounding with more specific details",
+    "completeness": "Ensure all aspects of the query are addressed",
+    "tone": "Adjust tone to match professional logistics communication",
+    "policy": "Review policy compliance requirements",
+}
+SERVICE_LEAST = 0.8
+
+
+def service_evaluation(scored: DataFrame, threshold: float) -> DataFrame:
+    """Drafts with their four scores as the evaluation service weighs them: overall_score, passes_threshold, recommendations."""
+    total = reduce(lambda a, b: a + b, [F.col(k) * w for k, w in SERVICE_WEIGHTS.items()])
+    advice = F.array_compact(F.array(*[F.when(F.col(k) < SERVICE_LEAST, said) for k, said in SERVICE_ADVICE.items()]))
+    return scored.withColumn("overall_score", total).withColumn("passes_threshold", F.col("overall_score") >= threshold).withColumn("recommendations", advice)
+
+
 def used_citations(drafts: DataFrame, cites: DataFrame, n: int = 5) -> DataFrame:
     """Citations of a draft whose beginning, or whose e-mail id, it contains; the n best by score."""
     from .search import top_k

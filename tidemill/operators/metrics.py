@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numbers import hit_at, ndcg_linear, precision_recall_f1, reciprocal_rank
 from .ranks import exclusive, linear, nearest, values_at
@@ -85,6 +86,34 @@ def performance_summary(logs: DataFrame, group: list[str], ms: str = "total_time
     return out.select(*[F.col(f"g.{c}") for c in [*group, "total_searches", "successful_searches", "failed_searches"]], F.coalesce("m", F.lit(0.0)).alias("avg_time_ms"), *[F.coalesce(f"r.{c}", F.lit(0.0)).alias(c) for c in ("p95_ms", "p99_ms")])
 
 
+def window_summary(logs: DataFrame, group: list[str], now: str, window: str = "24h", ts: str = "timestamp", components: tuple[str, ...] = ("bm25_time_ms", "vector_time_ms", "fusion_time_ms"), kind: str = "search_type", error: str = "error_message") -> DataFrame:
+    """The summary of a time window before ``now``: outcomes and percentiles, mean component times, counts by type and by error.
+
+    A component counts where a search succeeded and it took any time; 0 if there is
+    none.  A failed search without a message is in no error count.
+    """
+    logs = within(logs, ts, now, window)
+    spent = [F.coalesce(F.avg(F.when(F.col("success") & (F.col(c) > 0), F.col(c))), F.lit(0.0)).alias(f"avg_{c}") for c in components]
+    out = performance_summary(logs, group).alias("g").join(logs.groupBy(*group).agg(*spent).alias("r"), _same(group)).select("g.*", *[f"r.avg_{c}" for c in components])
+    failed = logs.where(~F.col("success") & (F.length(error) > 0))
+    for name, rows, col in (("search_types", logs, kind), ("errors", failed, error)):
+        counts = distribution_map(rows, group, col).withColumnRenamed("counts", name)
+        out = out.alias("g").join(counts.alias("r"), _same(group), "left").select("g.*", f"r.{name}")
+    return out
+
+
+def export_searches(logs: DataFrame, group: list[str], ts: str = "timestamp", n: int = 100, chars: int = 100) -> DataFrame:
+    """The newest ``n`` searches of each group, queries cut to ``chars`` characters."""
+    w = Window.partitionBy(*group).orderBy(F.desc(ts), F.desc("query_id"))
+    newest = logs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    return newest.select(*group, "query_id", F.substring("query", 1, chars).alias("query"), ts, "total_time_ms", "search_type", "success")
+
+
+def quality_averages(measured: DataFrame, group: list[str], measures: tuple[str, ...] = ("hit_at_1", "hit_at_3", "hit_at_5", "hit_at_10", "mrr", "ndcg")) -> DataFrame:
+    """Means of the quality measures over all time, and of how many queries."""
+    return measured.groupBy(*group).agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in measures])
+
+
 def _same(group: list[str]) -> Column:
     out = F.lit(True)
     for c in group:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -237,6 +238,20 @@ def highlight(c: Column, term: str, size: int = 150) -> Column:
     return F.when(at > 0, F.regexp_replace(piece, f"(?i)({term})", "<em>$1</em>"))
 
 
+def fragments(c: Column, term: str, size: int = 150, n: int = 3) -> Column:
+    """The first ``n`` pieces of a text, of ``size`` characters at most, around a term that is put in <em>; they do not overlap."""
+    side, word = (size - len(term)) // 2, re.escape(term)
+    around = F.regexp_extract_all(c, F.lit(f"(?is).{{0,{side}}}{word}.{{0,{side}}}"), F.lit(0))
+    return F.transform(F.slice(around, 1, n), lambda x: F.regexp_replace(x, f"(?i)({word})", "<em>$1</em>"))
+
+
+def highlights(hits: DataFrame, term: str, subject: str, content: str) -> DataFrame:
+    """Adds ``highlight``: the whole subject, and three fragments of the content, where the term occurs in them."""
+    word = re.escape(term)
+    marked = F.when(F.col(subject).rlike(f"(?i){word}"), F.array(F.regexp_replace(F.col(subject), f"(?i)({word})", "<em>$1</em>"))).otherwise(F.array().cast("array<string>"))
+    return hits.withColumn("highlight", F.struct(marked.alias("subject"), F.coalesce(fragments(F.col(content), term), F.array().cast("array<string>")).alias("content")))
+
+
 def citations(hits: DataFrame, source: str) -> DataFrame:
     """Result rows as citations: preview of 200, snippet of 150 characters, uid with the source."""
     return hits.select(

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import threading, workflow
+from ..operators import drafts, metrics, search, threading, workflow
 from ..sources import versions
 from ..sources.work import folder
 from ..streaming import batcher, guards, resume, retries
@@ -213,3 +213,78 @@ def attachment_workflow(spark, sf):
     read = lambda n: F.when(n > F.col("page_id") % 5, F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" password")))
     done = workflow.process(tasks, read, largest=3000)
     return done.select("page_id", "current_step", F.coalesce("needs_ocr", F.lit(False)).alias("needs_ocr"), F.coalesce("attempts", F.lit(0)).alias("attempts"), "error_message", "quarantined", "storage_key", F.array_join("compliance_checks", ",").alias("checks"), F.array_join("steps", ",").alias("steps"))
+
+
+# ---------------------------------------------------------------- metrics of a window, evaluation, highlights
+_LOG_SQL = """
+log AS (
+  SELECT user_id % 4 AS tenant_id, event_id AS query_id, repeat(event_type || ' ', event_id % 30) AS query, ts AS timestamp, value AS total_time_ms, event_type <> 'error' AS success, event_type AS search_type,
+    CASE WHEN event_id % 2 = 0 THEN value / 2 ELSE 0.0 END AS bm25_time_ms, CASE WHEN event_id % 3 = 0 THEN value / 4 ELSE 0.0 END AS vector_time_ms, 0.0::DOUBLE AS fusion_time_ms,
+    CASE WHEN event_type = 'error' AND event_id % 3 > 0 THEN 'reason ' || event_id % 3 ELSE '' END AS error_message FROM events)"""
+
+
+def _log(spark, sf):
+    e, v = F.col("event_id"), F.col("value")
+    return t(spark, sf, "events").select(
+        (F.col("user_id") % 4).alias("tenant_id"), e.alias("query_id"), F.expr("repeat(event_type || ' ', cast(event_id % 30 as int))").alias("query"), F.col("ts").alias("timestamp"), v.alias("total_time_ms"), (F.col("event_type") != "error").alias("success"),
+        F.col("event_type").alias("search_type"), F.when(e % 2 == 0, v / 2).otherwise(0.0).alias("bm25_time_ms"), F.when(e % 3 == 0, v / 4).otherwise(0.0).alias("vector_time_ms"), F.lit(0.0).alias("fusion_time_ms"),
+        F.when((F.col("event_type") == "error") & (e % 3 > 0), F.concat(F.lit("reason "), (e % 3).cast("string"))).otherwise("").alias("error_message"),
+    )
+
+
+@query(
+    f"""
+WITH {_LOG_SQL}, w AS (SELECT * FROM log WHERE timestamp >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 168 HOUR),
+v AS (SELECT tenant_id, list_sort(list(total_time_ms)) AS v, len(list(total_time_ms)) AS n FROM w WHERE success GROUP BY 1),
+q AS (SELECT tenant_id, CASE WHEN n < 20 THEN 0.0 ELSE (v[j] * (20 - d) + v[j + 1] * d) / 20 END AS p95 FROM (SELECT *, greatest(1, least((19 * (n + 1)) // 20, n - 1)) AS j, 19 * (n + 1) - greatest(1, least((19 * (n + 1)) // 20, n - 1)) * 20 AS d FROM v)),
+ty AS (SELECT tenant_id, string_agg(search_type || '=' || c, ',' ORDER BY search_type) AS types FROM (SELECT tenant_id, search_type, count(*) AS c FROM w GROUP BY ALL) GROUP BY 1),
+er AS (SELECT tenant_id, string_agg(error_message || '=' || c, ',' ORDER BY error_message) AS errors FROM (SELECT tenant_id, error_message, count(*) AS c FROM w WHERE NOT success AND error_message <> '' GROUP BY ALL) GROUP BY 1)
+SELECT tenant_id, count(*) AS total_searches, count(*) FILTER (success) AS successful_searches, round(avg(total_time_ms) FILTER (success), 6) AS avg_time_ms, round(any_value(p95), 6) AS p95_ms,
+  round(coalesce(avg(bm25_time_ms) FILTER (success AND bm25_time_ms > 0), 0), 6) AS avg_bm25_time_ms, round(coalesce(avg(vector_time_ms) FILTER (success AND vector_time_ms > 0), 0), 6) AS avg_vector_time_ms, 0.0::DOUBLE AS avg_fusion_time_ms,
+  any_value(types) AS types, any_value(errors) AS errors
+FROM w JOIN q USING (tenant_id) JOIN ty USING (tenant_id) JOIN er USING (tenant_id) GROUP BY tenant_id
+"""
+)
+def perf_window(spark, sf):
+    m = metrics.window_summary(_log(spark, sf), ["tenant_id"], "2024-01-20 00:00:00", "7d")
+    told = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    rounded = [F.round(c, 6).alias(c) for c in ("avg_time_ms", "p95_ms", "avg_bm25_time_ms", "avg_vector_time_ms", "avg_fusion_time_ms")]
+    return m.select("tenant_id", "total_searches", "successful_searches", *rounded, told("search_types").alias("types"), told("errors").alias("errors"))
+
+
+@query(f"WITH {_LOG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, query_id DESC) AS n FROM log) SELECT tenant_id, query_id, query[1:100] AS query, timestamp, total_time_ms, search_type, success FROM r WHERE n <= 100")
+def search_export(spark, sf):
+    return metrics.export_searches(_log(spark, sf), ["tenant_id"])
+
+
+@query(
+    """
+WITH s AS (SELECT doc_id, doc_id % 11 / 10 AS grounding, doc_id % 7 / 6 AS completeness, doc_id % 5 / 4 AS tone, doc_id % 3 / 2 AS policy FROM documents)
+SELECT doc_id, round(grounding * 0.3 + completeness * 0.3 + tone * 0.2 + policy * 0.2, 9) AS overall_score, round(grounding * 0.3 + completeness * 0.3 + tone * 0.2 + policy * 0.2, 9) >= 0.7 AS passes,
+  concat_ws('|', CASE WHEN grounding < 0.8 THEN 'Improve factual grounding with more specific details' END, CASE WHEN completeness < 0.8 THEN 'Ensure all aspects of the query are addressed' END,
+    CASE WHEN tone < 0.8 THEN 'Adjust tone to match professional logistics communication' END, CASE WHEN policy < 0.8 THEN 'Review policy compliance requirements' END) AS advice FROM s
+"""
+)
+def eval_service(spark, sf):
+    part = lambda n: F.col("doc_id") % n / (n - 1)
+    scored = t(spark, sf, "documents").select("doc_id", part(11).alias("grounding"), part(7).alias("completeness"), part(5).alias("tone"), part(3).alias("policy"))
+    e = drafts.service_evaluation(scored, 0.7).withColumn("overall_score", F.round("overall_score", 9))
+    return e.select("doc_id", "overall_score", (F.col("overall_score") >= 0.7).alias("passes"), F.array_join("recommendations", "|").alias("advice"))
+
+
+@query(
+    r"""
+SELECT doc_id, array_to_string([regexp_replace(x, '(?i)(ing)', '<em>\1</em>', 'g') FOR x IN regexp_extract_all(text, '(?is).{0,73}ing.{0,73}')[1:3]], '|') AS content,
+  CASE WHEN contains(lower(source), 'ing') THEN regexp_replace(source, '(?i)(ing)', '<em>\1</em>', 'g') ELSE '' END AS subject
+FROM documents WHERE contains(lower(text), 'ing')
+"""
+)
+def highlight_fragments(spark, sf):
+    h = search.highlights(t(spark, sf, "documents").where("contains(lower(text), 'ing')"), "ing", "source", "text")
+    return h.select("doc_id", F.array_join("highlight.content", "|").alias("content"), F.array_join("highlight.subject", "|").alias("subject"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id % 4 = 1 AND user_id = 5 AND event_id % 2 = 0 AND event_type IN ('click', 'view')")
+def search_filters_all(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "user_id", (F.col("user_id") % 4).alias("tenant_id"), F.col("user_id").alias("thread_id"), (F.col("event_id") % 2 == 0).alias("has_attachments"), F.array("event_type").alias("attachment_types"))
+    return search.search_filters(e, 1, {"thread_id": 5, "has_attachments": True, "attachment_types": ["click", "view"], "unknown": 1}).select("event_id", "user_id")
