@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import drafts, metrics, search, threading, workflow
-from ..sources import versions
+from ..sources import mailbox, messages, versions
 from ..sources.work import folder
 from ..streaming import batcher, guards, resume, retries
 from .catalog import query, t
@@ -288,3 +288,15 @@ def highlight_fragments(spark, sf):
 def search_filters_all(spark, sf):
     e = t(spark, sf, "events").select("event_id", "user_id", (F.col("user_id") % 4).alias("tenant_id"), F.col("user_id").alias("thread_id"), (F.col("event_id") % 2 == 0).alias("has_attachments"), F.array("event_type").alias("attachment_types"))
     return search.search_filters(e, 1, {"thread_id": 5, "has_attachments": True, "attachment_types": ["click", "view"], "unknown": 1}).select("event_id", "user_id")
+
+
+@query("SELECT '<' || conv_id || '-' || turn || '@x.org>' AS message_id, role AS subject, md5(regexp_replace(text, '[\\r\\n]+$', '')) AS body FROM conversations")
+def mailbox_messages(spark, sf):
+    """Conversations as mailboxes, written by Spark, read back and parsed."""
+    at = f"{folder(spark)}/mail-{uuid.uuid4().hex}"
+    c = t(spark, sf, "conversations")
+    mid = F.concat(F.lit("<"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.lit("@x.org>"))
+    content = F.concat(F.lit("Message-ID: "), mid, F.lit("\nSubject: "), F.col("role"), F.lit("\n\n"), F.col("text"))
+    mailbox.write(c.select(F.lit("a@x.org").alias("sender"), F.lit("2024-01-01").cast("timestamp").alias("date"), content.alias("content")), at, "sender", "date", "content")
+    got = messages.parse_messages(mailbox.read(spark, at, "*.txt"))
+    return got.select("message_id", "subject", F.md5(F.encode(F.regexp_replace("body", "[\\r\\n]+$", ""), "UTF-8")).alias("body"))

@@ -28,11 +28,13 @@ MANIFEST = T.StructType(
 
 
 def scan_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Message files of a folder (path, size, content), at most 50 MB each; read as binary by the executors."""
+    """Message files of a folder (path, size, content), read as binary by the executors; one over 50 MB has no content, and is not read."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.{eml,msg}")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(path).where(F.col("length") <= LARGEST).select("path", F.col("length").alias("size"), "content")
+    files = reader.load(path)
+    fits = files.where(F.col("length") <= LARGEST).select("path", F.col("length").alias("size"), "content")
+    return fits.unionByName(files.where(F.col("length") > LARGEST).select("path", F.col("length").alias("size"), F.lit(None).cast("binary").alias("content")))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +43,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.select("batch_id", "source_type", F.posexplode("file_manifest").alias("position", "f")).select("batch_id", "source_type", "position", "f.*")
 
 
+def _text(data: bytes, charset: str | None) -> str:
+    """Bytes by their charset; by UTF-8 if that is none, unknown or wrong."""
+    try:
+        return data.decode(charset or "utf-8")
+    except (LookupError, UnicodeDecodeError):
+        return data.decode("utf-8", "replace")
+
+
 def _leaf_parts(msg):
     for part in msg.walk():
         if not part.is_multipart():
@@ -57,8 +67,12 @@ def _parse(batches: Iterable[pa.RecordBatch]):
         for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
             r = dict.fromkeys(kinds.names)
             r.update(path=path, attachments=[])
+            if content is None:
+                r["error"] = "OVERSIZED_EMAIL"
+                rows.append(r)
+                continue
             try:
-                msg = message_from_bytes(content or b"", policy=policy.compat32)
+                msg = message_from_bytes(content, policy=policy.compat32)
                 head = lambda n: str(msg.get(n)) if msg.get(n) else None  # noqa: B023, E731
                 r.update(
                     message_id=head("Message-ID"), subject=head("Subject") or "", from_address=head("From") or "", to_header=head("To"), cc_header=head("Cc"), bcc_header=head("Bcc"),
@@ -73,7 +87,7 @@ def _parse(batches: Iterable[pa.RecordBatch]):
                         name = part.get_filename() or f"attachment_{digest[:8]}{EXTENSIONS.get(part.get_content_type(), '.bin')}"
                         r["attachments"].append({"filename": name, "mimetype": part.get_content_type(), "size_bytes": len(data), "content_hash": digest, "content": data})
                     elif body is None and part.get_content_type() in ("text/plain", "text/html"):
-                        body = data.decode(part.get_content_charset() or "utf-8", "replace")
+                        body = _text(data, part.get_content_charset())
                 r["body"] = body or ""
             except Exception as e:  # a bad message fails alone
                 r["error"] = f"MALFORMED_MIME: {type(e).__name__}"
@@ -82,7 +96,7 @@ def _parse(batches: Iterable[pa.RecordBatch]):
 
 
 def parse_messages(files: DataFrame) -> DataFrame:
-    """Headers, first text body and attachments of each file; a file that cannot be parsed has an error instead."""
+    """Headers, first text body and attachments of each file; one that cannot be parsed, or has no content, has an error instead."""
     ship(files.sparkSession)
     s = "string"
     cols = ", ".join(f"`{n}` {s}" for n in ("path", "message_id", "subject", "from_address", "to_header", "cc_header", "bcc_header", "date_header", "in_reply_to", "references", "content_type", "charset", "body", "error"))
