@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, buffer_of, lower, mix, shards, ship, tidy
+from .common import U64, Work, buffer_of, lower, mix, shards, ship, small, tidy
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -210,7 +210,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     few = different.withColumn("_nth", nth).where(F.col("_nth") <= LEAST_DOCS).drop("_nth")
     top = different.orderBy("h", "lang").limit(sample_docs).unionByName(few).distinct()
-    some = rows.join(top, ["h", "lang"]).dropDuplicates(["h", "lang"])
+    top = Work(labelled.sparkSession, "language").table(top, "chosen")
+    some = rows.join(small(top, top.count()), ["h", "lang"]).dropDuplicates(["h", "lang"])
     pieces = some.select("lang", "text").mapInArrow(_take_windows(WINDOW, sample_windows), "lang string, piece binary")
     got = sorted((r["lang"], bytes(r["piece"])) for r in pieces.collect())
     classes = sorted({r[0] for r in got})
