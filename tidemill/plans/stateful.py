@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import drafts, metrics, search, threading, workflow
+from ..operators import drafts, metrics, search, threading, vectors, workflow
 from ..sources import mailbox, messages, versions
 from ..sources.work import folder
 from ..streaming import batcher, guards, resume, retries
-from .catalog import query, t
+from .catalog import _queries, query, t
 
 #: A task fails as often as the rest of its number by 5.
 _ATTEMPTS = """
@@ -300,3 +300,10 @@ def mailbox_messages(spark, sf):
     mailbox.write(c.select(F.lit("a@x.org").alias("sender"), F.lit("2024-01-01").cast("timestamp").alias("date"), content.alias("content")), at, "sender", "date", "content")
     got = messages.parse_messages(mailbox.read(spark, at, "*.txt"))
     return got.select("message_id", "subject", F.md5(F.encode(F.regexp_replace("body", "[\\r\\n]+$", ""), "UTF-8")).alias("body"))
+
+
+@query()  # what is found depends on the cells; its recall is measured in a test
+def vector_index_topk(spark, sf):
+    v, q = _queries(spark, sf)
+    centers = vectors.fit(v, 16)
+    return vectors.search_index(vectors.index(v, centers), centers, q, probes=12)
