@@ -555,8 +555,8 @@ def vector_topk_threshold_after(spark, sf):
 
 # ---------------------------------------------------------------- fusion
 _LISTS_SQL = """
-a AS (SELECT user_id AS query_id, event_id AS chunk_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS r1, value AS s1 FROM events WHERE event_type IN ('view', 'click')),
-b AS (SELECT user_id AS query_id, event_id AS chunk_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r2, value AS s2 FROM events WHERE event_id % 2 = 0),
+a AS (SELECT user_id AS query_id, event_id AS chunk_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS r1, value AS s1 FROM events),
+b AS (SELECT user_id AS query_id, event_id AS chunk_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r2, value AS s2 FROM events),
 f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, r1, r2, s1, s2,
         1.0::DOUBLE / (60 + coalesce(r1, 60)) + 1.0::DOUBLE / (60 + coalesce(r2, 60)) AS fs
       FROM (SELECT * FROM a WHERE r1 < 20) a FULL OUTER JOIN (SELECT * FROM b WHERE r2 < 20) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
@@ -566,8 +566,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fs, 12)
 
 def _lists(spark, sf):
     e = t(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("chunk_id"), "value", "ts", "event_type")
-    a = search.top_k(e.where("event_type in ('view', 'click')"), "query_id", [F.desc("value"), F.col("chunk_id")], 20)
-    b = search.top_k(e.where("chunk_id % 2 = 0"), "query_id", [F.col("ts"), F.col("chunk_id")], 20)
+    a = search.top_k(e, "query_id", [F.desc("value"), F.col("chunk_id")], 20)
+    b = search.top_k(e, "query_id", [F.col("ts"), F.col("chunk_id")], 20)
     pick = lambda d: d.select("query_id", "chunk_id", "rank", F.col("value").alias("score"))
     return pick(a), pick(b)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dedup, hybrid, metrics, normalize, search
+from ..sources.work import cut
 from .catalog import _ANALYZE, _BM25_SQL, _LINE, _MRR, _NDCG, _SIMHASH_SQL, NORM_SQL, _bm25, _hit, _strip, query, t
 
 _FIELDS_SQL = f"""
@@ -150,14 +151,15 @@ def highlight_fields(spark, sf):
 
 
 @query(
-    f"""WITH {_HYBRID_SQL}, ql AS (SELECT query_id, chunk_id, rank FROM hy WHERE rank <= 10 AND query_id < 20),
+    f"""WITH {_HYBRID_SQL}, ql AS (SELECT query_id, chunk_id, rank FROM hy WHERE rank <= 10 AND query_id IN (SELECT query_id FROM hy WHERE rank = 10)),
 tx AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text)))
 SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, 'hybrid' AS path FROM ql
 UNION ALL SELECT query_id, chunk_id, CAST(rank AS INTEGER), 'sql' FROM tx WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM ql)"""
 )
 def retrieve_with_fallback(spark, sf):
-    """Queries 0 to 19 are answered by the hybrid search; it is away for the others, which fall back to the text search."""
-    h = hybrid.hybrid_search(*_lists(spark, sf, 10), 10).where("query_id < 20")
+    """A query with ten hybrid hits is answered by them; one with fewer falls back to the text search."""
+    h = cut(hybrid.hybrid_search(*_lists(spark, sf, 10), 10), spark)
+    h = h.join(h.where("rank = 10").select("query_id"), "query_id", "left_semi")
     d = t(spark, sf, "documents").select("doc_id", "text", (-F.col("doc_id")).alias("newest"))
     q = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     s = search.text_search(d, q, "doc_id", "text", "newest").withColumnRenamed("doc_id", "chunk_id")
