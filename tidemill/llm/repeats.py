@@ -39,7 +39,7 @@ CORE = 48
 #: Bytes of text whose cores are searched together.
 CHUNK = 1 << 18
 #: Bytes of segments in a suffix array, about, and of the segments of one core beyond which it is split.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 20
 GROUP_BYTES = 512 << 10
 #: Ends a segment; no byte of UTF-8 text.
 END = 255
