@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemill.operators import dedup
+from tidemill.functions.numbers import cosine
+from tidemill.operators import dedup, nearest, search
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -25,3 +26,30 @@ def test_near_pairs_are_not_broadcast_and_come_once(spark):
     assert "ShuffledHashJoin" in text and "BroadcastHashJoin" not in text
     want = sorted((x, y, (x ^ y).bit_count()) for x in all_ for y in all_ if x < y and (x ^ y).bit_count() <= 9)
     assert sorted(map(tuple, p.collect())) == want
+
+
+def brute(v, q, k, threshold, after=False):
+    """Every pair as a row."""
+    hits = v.join(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score")).where("score is not null")
+    if threshold is not None and not after:
+        hits = hits.where(F.col("score") >= threshold)
+    hits = search.top_k(hits, "query_id", [F.col("score").desc(), F.col("vec_id")], k)
+    return hits.where(F.col("score") >= threshold) if after else hits
+
+
+def test_nearest_vectors_with_copies_and_odd_ones(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 8)).round(1)
+    x[50:150] = x[7]
+    x[150:180] = x[150:180] + 1e-10
+    rows = [(i, [float(y) for y in z]) for i, z in enumerate(x)]
+    rows += [(900, [1.0, 2.0]), (901, [2.0, 1.0]), (902, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = v.where("vec_id % 7 = 0 or vec_id > 800").selectExpr("vec_id as query_id", "embedding as q")
+    odd = v.union(spark.createDataFrame([(903, None), (904, []), (905, [None, 1.0]), (906, [0.0, 0.0]), (None, [1.0, 1.0])], v.schema))
+    for threshold, after in ((0.1, False), (0.25, True), (None, False)):
+        got = search.vector_top_k(odd, q, 5, threshold, after)
+        assert "NestedLoop" not in plan(got)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute(v, q, 5, threshold, after).collect()))
+    blocks = nearest.candidates(v, q, 5, block_bytes=600)
+    assert len(blocks) > 3 and sum(b.select("query_id").distinct().count() for b in blocks) == q.count()

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbers import cosine
 from ..functions.text import snippet, strip, word_list, words
 from ..sources.work import ship
+from . import nearest
 
 # The default English stop list of common text analyzers.
 ANALYZER_STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -114,25 +114,18 @@ def fuzzy_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = 0.7, after: bool = False) -> DataFrame:
     """Top k by cosine of every query vector: query_id, vec_id, score, rank.
 
-    ``queries`` (query_id, q) is sent to all vectors in one broadcast when its counted
-    rows allow, and else in blocks of about half the bound, dealt by a hash of the id;
-    all vectors meet every block.  The threshold applies before the cut, or after it
-    with ``after``.
+    ``queries`` (query_id, q) go to all vectors in blocks of bounded bytes; tasks
+    multiply blocks of both and keep each query's best, so that pairs are no rows.
+    Vectors that are null, zero or hold nulls have no score and are in no result.  The
+    threshold applies before the cut, or after it with ``after``.
     """
-    rows = queries.count()
-    if rows > QUERY_ROWS:
-        n = -(-2 * rows // QUERY_ROWS)
-        block = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        return reduce(DataFrame.unionByName, [_vector_block(vectors, queries.where(block == i), k, threshold, after) for i in range(n)])
-    return _vector_block(vectors, queries, k, threshold, after)
-
-
-def _vector_block(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None, after: bool) -> DataFrame:
-    hits = vectors.join(F.broadcast(queries)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
-    if threshold is not None and not after:
-        hits = hits.where(F.col("score") >= threshold)
-    hits = top_k(hits, "query_id", [F.col("score").desc(), F.col("vec_id")], k)
-    return hits.where(F.col("score") >= threshold) if after and threshold is not None else hits
+    parts = []
+    for hits in nearest.candidates(vectors, queries, k, None if after else threshold):
+        if threshold is not None and not after:
+            hits = hits.where(F.col("score") >= threshold)
+        hits = top_k(hits, "query_id", [F.col("score").desc(), F.col("vec_id")], k)
+        parts.append(hits.where(F.col("score") >= threshold) if after and threshold is not None else hits)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search_filters(rows: DataFrame, tenant: str | int, filters: dict | None = None) -> DataFrame:
