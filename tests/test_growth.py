@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemill.functions.numbers import cosine
-from tidemill.operators import dedup, nearest, search
+from tidemill.operators import dedup, nearest, search, vectors
+from tidemill.plans import catalog
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -53,3 +54,15 @@ def test_nearest_vectors_with_copies_and_odd_ones(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute(v, q, 5, threshold, after).collect()))
     blocks = nearest.candidates(v, q, 5, block_bytes=600)
     assert len(blocks) > 3 and sum(b.select("query_id").distinct().count() for b in blocks) == q.count()
+
+
+def test_index_searches_by_block(spark):
+    v, q = catalog._queries(spark, "/root/testdata/sf0.001")
+    centers = vectors.fit(v, 8)
+    got = vectors.search_index(vectors.index(v, centers), centers, q, k=5, probes=3)
+    cell = vectors.index(v, centers).select("vec_id", "cell")
+    pairs = vectors._cells(q, centers, "q", 3).select("query_id", "cell").join(cell, "cell").select("query_id", "vec_id")
+    hits = pairs.join(v, "vec_id").join(q, "query_id").where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding").cast("array<float>"), F.col("q").cast("array<float>")), 9).alias("score"))
+    want = search.top_k(hits, "query_id", [F.col("score").desc(), F.col("vec_id")], 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in plan(got)

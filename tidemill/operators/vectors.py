@@ -8,14 +8,15 @@ What a search finds depends on how many cells it probes: measure it with
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cosine
 from ..sources.work import ship
+from . import nearest
 from .search import top_k
 
 #: Vectors that the centroids are fitted on, at most, and passes over them.
@@ -64,11 +65,15 @@ def _nearest(centers: np.ndarray, name: str, out: str, probes: int):
     return run
 
 
-def _cells(rows: DataFrame, centers: np.ndarray, name: str, probes: int) -> DataFrame:
+def _probes(rows: DataFrame, centers: np.ndarray, name: str, probes: int) -> DataFrame:
     ship(rows.sparkSession)
     ready = rows.where(F.size(name) > 0).withColumn(name, F.col(name).cast("array<float>"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema) + ", cells array<int>"
-    return ready.mapInArrow(_nearest(centers, name, "cells", probes), schema).withColumn("cell", F.explode("cells")).drop("cells")
+    return ready.mapInArrow(_nearest(centers, name, "cells", probes), schema)
+
+
+def _cells(rows: DataFrame, centers: np.ndarray, name: str, probes: int) -> DataFrame:
+    return _probes(rows, centers, name, probes).withColumn("cell", F.explode("cells")).drop("cells")
 
 
 def index(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
@@ -79,14 +84,17 @@ def index(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
 def search_index(indexed: DataFrame, centers: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 4, threshold: float | None = None) -> DataFrame:
     """Top k by cosine among the vectors of the ``probes`` cells nearest to each query: query_id, vec_id, score, rank.
 
-    An equi-join on the cell, which the adaptive skew join splits where a cell is
-    large.  A vector is not its own neighbour.
+    The queries go to the vectors in blocks of bounded bytes, each with its cells, and
+    tasks multiply a cell's vectors by the queries that probe it: no vector moves to its
+    cell, so a large cell is no large task.  A vector is not its own neighbour.
     """
-    asked = _cells(queries.select("query_id", "q"), centers, "q", probes)
-    hits = indexed.join(asked, "cell").where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
-    if threshold is not None:
-        hits = hits.where(F.col("score") >= threshold)
-    return top_k(hits, "query_id", [F.col("score").desc(), F.col("vec_id")], k)
+    asked = _probes(queries.select("query_id", "q"), centers, "q", probes)
+    parts = []
+    for hits in nearest.candidates(indexed, asked, k, threshold):
+        if threshold is not None:
+            hits = hits.where(F.col("score") >= threshold)
+        parts.append(top_k(hits, "query_id", [F.col("score").desc(), F.col("vec_id")], k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
