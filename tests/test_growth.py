@@ -1,10 +1,12 @@
 """What must not grow faster than the tables: broadcasts through the driver, pairs of vectors in Spark rows, shuffled words."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemill.functions import text as X
 from tidemill.functions.numbers import cosine
-from tidemill.operators import dedup, nearest, search, vectors
+from tidemill.operators import attachments, dedup, nearest, search, vectors
 from tidemill.plans import catalog
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -29,6 +31,16 @@ def test_near_pairs_are_not_broadcast_and_come_once(spark):
     assert sorted(map(tuple, p.collect())) == want
 
 
+def test_no_word_is_shuffled_for_hashes_and_rows_of_one_id_vote_together(spark):
+    d = spark.createDataFrame([(1, "alpha beta"), (1, "alpha gamma gamma"), (2, "alpha beta alpha gamma gamma"), (3, None), (4, "a")], "doc_id long, text string")
+    s = {r.doc_id: r.simhash for r in dedup.simhash(d, "doc_id", "text").collect()}
+    assert s[1] == s[2] != 0 and s[3] == s[4] == 0
+    m = {r.doc_id: r.signature for r in dedup.minhash(d, "doc_id", "text").collect()}
+    assert m[1] == m[2] and set(m) == {1, 2} and len(m[1]) == 128
+    for f in (dedup.simhash, dedup.minhash):
+        assert "explode" not in plan(f(spark.read.parquet(DOCS), "doc_id", "text"))
+
+
 def brute(v, q, k, threshold, after=False):
     """Every pair as a row."""
     hits = v.join(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score")).where("score is not null")
@@ -66,3 +78,25 @@ def test_index_searches_by_block(spark):
     want = search.top_k(hits, "query_id", [F.col("score").desc(), F.col("vec_id")], 5)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Join" not in plan(got)
+
+
+def test_open_references_stay_in_extracted_text():
+    got = attachments.EXTRACTORS["text/html"](b"<title>a&amp;&amp</title><style>p{}</style><p>&quot;b&quot; &copy; c&am</p>&#65; & d &amp;amp; &")
+    assert got == 'a&&amp "b" \u00a9 c&am A & d &amp; &'
+
+
+def test_extraction_is_its_sql_on_cut_references(spark, tmp_path):
+    pages = [(4, "u", "<h1>x&amp;&amp</h1><p>y&am</p>"), (8, "u", "<p>&middot; &amp;</p>"), (5, "u", "z")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(catalog.SQL["extract_documents"]).fetchall()
+    assert sorted(map(tuple, catalog.extract_documents(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_word_lists_are_looked_up_by_hash(spark):
+    d = spark.read.parquet(DOCS)
+    for c in (X.detect_language(F.col("text")), X.features(F.col("text")), search.analyze(F.col("text"))):
+        got = d.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "INSET" in got.upper() and "array_contains" not in got
+    assert d.select(X.detect_language(F.col("text")).alias("c"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1

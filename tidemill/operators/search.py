@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import snippet, strip, word_list, words
+from ..functions.text import snippet, strip, words
 from ..sources.work import ship
 from . import nearest
 
@@ -31,7 +31,7 @@ QUERY_BYTES = 16 << 20
 
 def analyze(c: Column) -> Column:
     """Lower-case words without stop words."""
-    return F.filter(words(F.lower(c)), lambda x: ~F.array_contains(word_list(ANALYZER_STOP_WORDS), x))
+    return F.filter(words(F.lower(c)), lambda x: ~x.isin(ANALYZER_STOP_WORDS))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
