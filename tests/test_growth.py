@@ -100,3 +100,15 @@ def test_word_lists_are_looked_up_by_hash(spark):
         got = d.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
         assert "INSET" in got.upper() and "array_contains" not in got
     assert d.select(X.detect_language(F.col("text")).alias("c"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_bm25_reads_its_texts_once(spark):
+    d = spark.createDataFrame([(1, "red fox"), (2, "the of"), (3, None), (4, "red red cat")], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "red"), (8, "the")], "query_id long, query string")
+    top = search.bm25(d, q, "doc_id", "text", "query_id", "query")
+    assert "regexp_extract_all" not in top._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert [(r.query_id, r.doc_id, r["rank"]) for r in top.orderBy("rank").collect()] == [(7, 4, 1), (7, 1, 2)]
+    tf, df, stats = search.counted_terms(d.select("doc_id", search.analyze(F.coalesce("text", F.lit(""))).alias("terms")), ["doc_id"], q.select(F.lit("red").alias("term")).distinct(), [])
+    assert [tuple(r) for r in stats.collect()] == [(4, 5 / 4)] and [tuple(r) for r in df.collect()] == [("red", 2)]
+    for x in (tf, df, stats):
+        assert "regexp_extract_all" not in plan(x)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from . import fusion
-from .search import BOOSTS, QUERY_ROWS, analyze, fuzzy_terms, snippet, top_k
+from .search import BOOSTS, QUERY_ROWS, analyze, counted_terms, fuzzy_terms, snippet, top_k
 
 #: Characters of a request that are kept, results at most, and the fewest without a say.
 REQUEST_CHARS, REQUEST_LIMIT = 500, 20
@@ -35,19 +35,14 @@ def bm25_fields(
     terms are the stated query set: postings of other terms go before any shuffle.
     """
     each = [F.struct(F.lit(n).alias("field"), F.lit(float(BOOSTS.get(n, 1.0))).alias("boost"), analyze(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("terms")) for n, c in fields.items()]
-    t = docs.select(id_col, F.explode(F.array(*each)).alias("f")).select(id_col, "f.*").withColumn("dl", F.size("terms"))
-    stats = t.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))  # a row for each field
+    t = docs.select(id_col, F.explode(F.array(*each)).alias("f")).select(id_col, "f.*")
     q = queries.select(query_id, F.explode(F.array_distinct(analyze(F.col(query_col)))).alias("term")).withColumn("share", F.lit(1.0))
-    p = t.select(id_col, "field", "boost", "dl", F.explode("terms").alias("term"))
     if fuzzy:
-        near = fuzzy_terms(p.select(F.col("term").alias("word")).distinct(), q.select("term").distinct())
+        near = fuzzy_terms(t.select(F.explode("terms").alias("word")).distinct(), q.select("term").distinct())
         near = near.withColumn("share", 1 - F.col("edits") / F.least(F.length("term"), F.length("word")))
         q = q.drop("share").join(near, "term").groupBy(query_id, F.col("word").alias("term")).agg(F.max("share").alias("share"))
-    few = q.count() <= QUERY_ROWS
-    q = F.broadcast(q) if few else q
-    wanted = q.select("term").distinct()
-    tf = p.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy(id_col, "field", "boost", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
+    q = F.broadcast(q) if q.count() <= QUERY_ROWS else q
+    tf, df, stats = counted_terms(t, [id_col, "field", "boost"], q.select("term").distinct(), ["field"])
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = tf.join(df, ["field", "term"]).join(F.broadcast(stats), "field").join(q, "term")

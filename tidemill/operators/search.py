@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import snippet, strip, words
-from ..sources.work import ship
+from ..sources.work import cut, ship
 from . import nearest
 
 # The default English stop list of common text analyzers.
@@ -47,6 +47,22 @@ def corpus_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     return t.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def counted_terms(texts: DataFrame, keys: list[str], wanted: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of the wanted terms, their document frequencies, and numbers and mean lengths of documents, all from one reading of ``texts`` (keys, terms).
+
+    (keys, dl, term, tf), (by, term, df), (by, n_docs, avgdl).  A text also holds the
+    empty term, which no text has of itself, so that texts without wanted terms are
+    counted.  The postings are written once: frequencies are joined to what they count.
+    """
+    every = texts.select(*keys, F.size("terms").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    asked = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
+    asked = F.broadcast(asked) if wanted.count() <= QUERY_ROWS else asked
+    tf = cut(every.join(asked, "term", "left_semi").groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")), texts.sparkSession)
+    stats = tf.where("term = ''").groupBy(*by).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    tf = tf.where("term <> ''")
+    return tf, tf.groupBy(*by, "term").agg(F.count("*").alias("df")), stats
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_col: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top k documents of every query: query_id, id, score, rank (from 1); ties by id.
 
@@ -56,11 +72,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
     """
     q = queries.select(query_id, F.explode(F.array_distinct(analyze(F.col(query_col)))).alias("term"))
     q = F.broadcast(q) if q.count() <= QUERY_ROWS else q
-    wanted = q.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= QUERY_ROWS else wanted
-    p = postings(docs, id_col, text_col).join(wanted, "term", "left_semi")
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_statistics(docs, text_col)
+    texts = docs.select(F.col(id_col), analyze(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+    p, df, stats = counted_terms(texts, [id_col], q.select("term").distinct(), [])
     scored = p.join(df, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
