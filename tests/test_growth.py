@@ -1,13 +1,16 @@
 """What must not grow faster than the tables: broadcasts through the driver, pairs of vectors in Spark rows, shuffled words."""
 
+import random
+
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
 from tidemill.functions.numbers import cosine
-from tidemill.operators import attachments, dedup, nearest, search, vectors
-from tidemill.plans import catalog
+from tidemill.operators import attachments, dedup, nearest, normalize, search, vectors
+from tidemill.plans import catalog, retrieval  # noqa: F401
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -112,3 +115,37 @@ def test_bm25_reads_its_texts_once(spark):
     assert [tuple(r) for r in stats.collect()] == [(4, 5 / 4)] and [tuple(r) for r in df.collect()] == [("red", 2)]
     for x in (tf, df, stats):
         assert "regexp_extract_all" not in plan(x)
+
+
+def test_normalization_works_out_what_is_asked(spark):
+    """The language is not; nor do patterns run line by line, or from every blank to the end of its run."""
+    got = catalog.QUERIES["normalize_content"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in got and "INSET" not in got
+    assert "transform(" not in got and "+$" not in got
+    d = spark.createDataFrame([(1, "the dog and the cat\n--\nJo")], "id long, text string")
+    r = normalize.normalize_content(d, "text", F.lit("text/plain")).first()
+    assert (r.manifest.detected_language, r.manifest.length_chars, r.manifest.token_estimate, r.word_count, r.removed_lines) == ("en", 19, 4, 5, 2)
+    run = spark.createDataFrame([(1, "a" + "\f" * 2000 + "a\f")], "id long, text string")
+    assert run.select(X.strip(F.col("text"))).first()[0] == "a" + "\f" * 2000 + "a"
+
+
+ODD = " |  |\t|\n|\n|\n\n|\r|\r\n|\f|\x0b|a|b c|\u00e9|\U0001f600|>|--|-- |-|Thanks,|thanks|KIND REGARDS|Get Outlook for |iOS|sent from |\u017fent from |than\u212as|s\u0131ncerely|From:|from:|To:|.|\u00a0|\x85|\u2028|\u2029|\x1c|\x00|&amp;|<p>"
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark, tmp_path_factory):
+    at, r = str(tmp_path_factory.mktemp("odd")), random.Random(7)
+    rows = [(i, "".join(r.choice(ODD.split("|")) for _ in range(r.randrange(15)))) for i in range(8000)] + [(8000, None)]
+    rows += [(8001 + i, x) for i, x in enumerate(["x\n\u017fent from y", "x\nthan\u212as", "x\ns\u0131ncerely", "x\nGet Outlook for \t\ny", "x\ncheers\u2028", "x \u2028"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{at}/pages.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["normalize_content", "strip_signature_quote", "plain_normalize", "html_strip", "html_visible_text"])
+def test_odd_line_ends_and_blanks_are_as_in_sql(spark, odd_texts, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.sql(f"create view {table} as select * from '{odd_texts}/{table}.parquet/*.parquet'")
+    want = sorted(con.sql(catalog.SQL[name]).fetchall(), key=lambda r: r[0])
+    assert sorted(map(tuple, catalog.QUERIES[name](spark, odd_texts).collect()), key=lambda r: r[0]) == want
