@@ -21,3 +21,10 @@ def test_policy_of_odd_texts_is_its_sql(spark, tmp_path):
     texts = ["", None, " ", "é123-45-6789", "123-45-6789中", "1.2.3.4١", "ªa@b.co", "a@b.co|", "x123-45-6789", "INTERNAL confİdential", "İnternal CONFIDENTIAL", "password é555-123-4567é"]
     got = same_as_sql(spark, tmp_path, "eval_policy", list(enumerate(texts)))
     assert got[0] == (1.0,) and got[3] == (0.7,) and got[9] == (0.9,)
+
+
+def test_simhash_hears_all_words(spark, tmp_path):
+    """A thousand words of one kind come first, then more of another."""
+    texts = ["alpha " * 1000 + "omega " * n for n in (0, 900, 1100, 3500)] + [" ".join(f"word{k % 5003}" for k in range(300_000)), "", None]
+    got = same_as_sql(spark, tmp_path, "simhash_md5", list(enumerate(texts)))
+    assert got[0] == got[1] != got[2] == got[3]
