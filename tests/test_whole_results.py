@@ -1,8 +1,10 @@
 """Rows that must be those of the SQL on odd texts, whole texts, and large groups of copies."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from tidemill.operators import dedup, near
 from tidemill.plans import catalog, retrieval  # noqa: F401
 
 
@@ -28,3 +30,44 @@ def test_simhash_hears_all_words(spark, tmp_path):
     texts = ["alpha " * 1000 + "omega " * n for n in (0, 900, 1100, 3500)] + [" ".join(f"word{k % 5003}" for k in range(300_000)), "", None]
     got = same_as_sql(spark, tmp_path, "simhash_md5", list(enumerate(texts)))
     assert got[0] == got[1] != got[2] == got[3]
+
+
+def clustered(r, n, groups=12):
+    """Hashes around a few, up to 14 bits off, and one dense group."""
+    base = [int(x) for x in r.integers(0, 1 << 60, groups)]
+    off = lambda k: sum(1 << int(b) for b in r.choice(60, k, replace=False))
+    near_one = [base[0] ^ off(int(k)) for k in r.integers(0, 5, n // 2)]
+    return list(dict.fromkeys(near_one + [base[int(g)] ^ off(int(k)) for g, k in zip(r.integers(0, groups, n), r.integers(0, 15, n), strict=True)]))
+
+
+@pytest.mark.parametrize("tile", [16, 8192])
+def test_near_hashes_by_tiles_are_those_of_brute_force(spark, tile):
+    r = np.random.default_rng(11)
+    h = clustered(r, 500)
+    ids = [int(x) for x in r.permutation(len(h))]
+    df = spark.createDataFrame(list(zip(h, ids, strict=True)), "simhash long, id long")
+    close = lambda a, b: (a ^ b).bit_count() <= 9
+    masks = dedup.near_masks()
+    got = sorted(map(tuple, near.pairs(df, masks, 9, tile).collect()))
+    assert got == sorted((x, y, (x ^ y).bit_count()) for x in h for y in h if x < y and close(x, y))
+    flags = [int(x) for x in r.integers(0, 4, len(h))]
+    marked = spark.createDataFrame(list(zip(h, ids, flags, strict=True)), "simhash long, id long, flags int")
+    rows = list(zip(h, ids, flags, strict=True))
+    want = {i: min((j for y, j, g in rows if g & 1 and j < i and close(x, y)), default=None) for x, i, f in rows if f & 2}
+    assert {(a.id, a.first) for a in near.earliest(marked, masks, 9, tile).collect()} == {(i, j) for i, j in want.items() if j is not None}
+    leaders, greedy = [], set()
+    for i, x in sorted(zip(ids, h, strict=True)):
+        first = next((j for j, y in leaders if close(x, y)), None)
+        leaders += [(i, x)] if first is None else []
+        greedy.add((i, first is None, first))
+    for few in (0, 40, 10**6):
+        assert {tuple(a) for a in near.resolve(df, masks, 9, few, tile).collect()} == greedy
+
+
+def test_decisions_take_no_pairs(spark, tmp_path, monkeypatch):
+    """Duplicates and leaders come without a row for each near pair."""
+    monkeypatch.setattr(near, "pairs", None)
+    d = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(200).collect()]
+    rows = [(10 * i + k, x if k else x.replace("the", "that")) for i, x in d for k in range(3)]
+    for name in ("duplicate_decision", "near_dup_resolved"):
+        same_as_sql(spark, tmp_path / name, name, rows)
