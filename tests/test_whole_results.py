@@ -71,3 +71,27 @@ def test_decisions_take_no_pairs(spark, tmp_path, monkeypatch):
     rows = [(10 * i + k, x if k else x.replace("the", "that")) for i, x in d for k in range(3)]
     for name in ("duplicate_decision", "near_dup_resolved"):
         same_as_sql(spark, tmp_path / name, name, rows)
+
+
+@pytest.mark.parametrize("tile", [5, 2048])
+def test_signature_pairs_are_those_of_brute_force(spark, tile):
+    """Signatures are sent to buckets only; a pair comes once, by tiles or whole."""
+    r = np.random.default_rng(13)
+    base = r.integers(0, 1 << 29, (9, 16))
+    sig = [[int(v if r.random() > 0.3 else r.integers(0, 1 << 29)) for v in base[int(g)]] for g in np.minimum(r.integers(0, 16, 120), 8)]
+    sig += [list(s[:15]) + [7] for s in sig[:20]]
+    df = spark.createDataFrame([(100 + 3 * i, s) for i, s in enumerate(sig)], "id long, signature array<int>")
+    agree = lambda x, y: any(x[k : k + 4] == y[k : k + 4] for k in range(0, 16, 4))
+    want = [(100 + 3 * i, 100 + 3 * j, sum(a == b for a, b in zip(x, y, strict=True)) / 16) for i, x in enumerate(sig) for j, y in enumerate(sig) if i < j and agree(x, y)]
+    got = near.signature_pairs(df, 4, tile)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_minhash_pairs_carry_no_signatures_through_joins(spark, tmp_path):
+    d = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(150).collect()]
+    same_as_sql(spark, tmp_path, "minhash_similarity", [(10 * i + k, x + " extraword" * k + f" tail{i}" * (k // 2)) for i, x in d for k in range(4)])
+    s = spark.createDataFrame([(1, [1] * 8), (2, [1] * 4 + [2] * 4)], "doc_id long, signature array<long>")
+    p = dedup.minhash_pairs(s, "doc_id")
+    assert list(map(tuple, p.collect())) == [(1, 2, 0.5)]
+    assert "MapInArrow" in p._jdf.queryExecution().executedPlan().toString()
